@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPREAD = 8
+SALT = "_spread"
+
+
+def salt(points: DataFrame, by: str = "ts", spread: int = SPREAD) -> DataFrame:
+    """Add the hash that shares a key's rows among `spread` tasks.
+
+    Several `attach` calls on the same salted table shuffle it once.
+    """
+    if SALT in points.columns:
+        return points
+    return points.withColumn(SALT, F.pmod(F.xxhash64(by), F.lit(spread)).cast("int"))
 
 
 def attach(
@@ -16,15 +27,15 @@ def attach(
     keys: Sequence[str] = ("series_id",),
     how: str = "left",
     spread_by: str = "ts",
-    spread: int = SPREAD,
 ) -> DataFrame:
     """Join one row per key onto many rows per key.
 
-    The small side is repeated `spread` times and the long side spread by a hash, so a key
+    The small side is repeated SPREAD times and the long side spread by a hash, so a key
     that holds a third of all rows is shared by several tasks. Where the small side turns out
     tiny at run time, the adaptive planner broadcasts it by its measured size.
     """
     keys = list(keys)
-    left = points.withColumn("_spread", F.pmod(F.xxhash64(spread_by), F.lit(spread)).cast("int"))
-    right = per_key.withColumn("_spread", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    return left.join(right, [*keys, "_spread"], how).drop("_spread")
+    left = salt(points, spread_by)
+    right = per_key.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    joined = left.join(right, [*keys, SALT], how)
+    return joined if SALT in points.columns else joined.drop(SALT)

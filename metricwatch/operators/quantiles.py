@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricwatch.operators.joins import attach
+from metricwatch.operators.joins import SALT, attach, salt
 
 ACCURACY = 10_000
 MARGIN = 0.002
@@ -28,40 +28,41 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row per key: `n` and each named quantile. `kind` as in numpy's older interpolation names."""
     keys = list(keys)
-    counts = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
     cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-MARGIN, MARGIN)})
-    sketch = counts.groupBy(*keys).agg(
-        F.percentile_approx("_v", cuts, ACCURACY, ).alias("_cuts"),
-        F.sum("_c").alias("n"),
+    stretches = range(len(cuts) + 1)
+    rows = salt(df.where(F.col(value).isNotNull()), value).select(*keys, SALT, F.col(value).alias("_v"))
+    sketch = rows.groupBy(*keys).agg(
+        F.percentile_approx("_v", cuts, ACCURACY).alias("_cuts"), F.count(F.lit(1)).alias("n")
     )
-    # The cuts come from distinct values; with many repeats they are merely less tight.
     stretch = sum(((F.col("_v") > F.col("_cuts")[i]).cast("int") for i in range(len(cuts))), F.lit(0))
-    placed = attach(counts, sketch, keys, "inner", "_v").withColumn("_stretch", stretch)
+    placed = attach(rows, sketch, keys, "inner").withColumn("_stretch", stretch)
+    sizes = placed.groupBy(*keys).agg(
+        F.first("n").alias("_n"),
+        *[F.count_if(F.col("_stretch") == i).alias(f"_size{i}") for i in stretches],
+    )
     wanted = []
     for name, p in probs.items():
         h = (F.col("n") - 1) * F.lit(float(p))
         wanted.append((name, h, F.floor(h), F.least(F.floor(h) + 1, F.col("n") - 1)))
-    sizes = placed.groupBy(*keys, "_stretch").agg(F.sum("_c").alias("_size"), F.first("n").alias("n"))
-    to_here = (
-        Window.partitionBy(*keys).orderBy("_stretch")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    sizes = sizes.withColumn("_base", F.coalesce(F.sum("_size").over(to_here), F.lit(0)))
-    inside = F.lit(False)
-    for _, _, lo, hi in wanted:
-        for rank in (lo, hi):
-            inside = inside | ((rank >= F.col("_base")) & (rank < F.col("_base") + F.col("_size")))
-    hit = sizes.where(inside).select(*keys, "_stretch", "_base")
-    ranked = attach(placed.drop("_cuts"), hit, [*keys, "_stretch"], "inner", "_v")
-    run = (
-        Window.partitionBy(*keys, "_stretch").orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, 0)
+    # Rank at which each stretch starts, NULL where no wanted rank lies in it.
+    starts, base = [], F.lit(0).cast("long")
+    for i in stretches:
+        end, inside = base + F.col(f"_size{i}"), F.lit(False)
+        for _, _, lo, hi in wanted:
+            for rank in (lo, hi):
+                inside = inside | ((rank >= base) & (rank < end))
+        starts.append(F.when(inside, base))
+        base = end
+    hit = sizes.withColumnRenamed("_n", "n").select(*keys, F.array(*starts).alias("_starts"))
+    tight = (
+        attach(placed.drop("_cuts"), hit, keys, "inner")
+        .withColumn("_base", F.get("_starts", F.col("_stretch")))
+        .where(F.col("_base").isNotNull())
+        .groupBy(*keys, "_stretch", "_base", "n", "_v")
+        .agg(F.count(F.lit(1)).alias("_c"))
     )
-    ranked = ranked.withColumn("_end", F.col("_base") + F.sum("_c").over(run)).withColumn(
+    run = Window.partitionBy(*keys, "_stretch").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = tight.withColumn("_end", F.col("_base") + F.sum("_c").over(run)).withColumn(
         "_start", F.col("_end") - F.col("_c")
     )
 
@@ -101,8 +102,9 @@ def floored_scale(mad: Column, median: Column) -> Column:
 
 def median_mad(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Exact `n`, `median` and floored `scale` per key, for groups of any size."""
-    med = exact_quantiles(df, keys, value, {"median": 0.5})
-    dev = attach(df, med, keys, "inner", value).withColumn("_dev", F.abs(F.col(value) - F.col("median")))
+    rows = salt(df.where(F.col(value).isNotNull()), value)
+    med = exact_quantiles(rows, keys, value, {"median": 0.5})
+    dev = attach(rows, med, keys, "inner").withColumn("_dev", F.abs(F.col(value) - F.col("median")))
     mad = exact_quantiles(dev, keys, "_dev", {"_mad": 0.5}).drop("n")
     return med.join(mad, list(keys)).select(
         *keys, "n", "median", floored_scale(F.col("_mad"), F.col("median")).alias("scale")
