@@ -71,8 +71,8 @@ def _attempt_union() -> str:
         ("g", "SELECT series_id, ts - lag(ts) OVER (PARTITION BY series_id ORDER BY ts) AS gap FROM h"),
         ("gr", "SELECT series_id, gap, row_number() OVER (PARTITION BY series_id ORDER BY gap) AS r, count(*) OVER (PARTITION BY series_id) AS n FROM g WHERE gap > 0"),
         ("want", f"SELECT series_id, {_SNAP.format(x='gap')} AS slot FROM gr WHERE r = n // 2 + 1"),
-        ("at", _attempt_union()),
-        ("ok", "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY rank) AS r FROM at WHERE sparse_ratio <= 0.3 OR effective_trend = 'none'"),
+        ("tries", _attempt_union()),
+        ("ok", "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY rank) AS r FROM tries WHERE sparse_ratio <= 0.3 OR effective_trend = 'none'"),
     )
     + f"SELECT series_id, 'monthly' AS trend, effective_trend, CAST(slot_secs AS INT) AS slot_secs, {q_sql('sparse_ratio')} AS sparse_ratio FROM ok WHERE r = 1",
 )

@@ -80,11 +80,11 @@ def with_neighbours(
     return wide.drop("_n", "_prev", "_next")
 
 
-def blended(name: str, w_prev: Column, w_next: Column) -> Column:
+def blended(name: str, w_prev: str = "_wp", w_next: str = "_wn") -> Column:
     """Weighted mix of a bucket column and its neighbours; a missing neighbour's weight goes back."""
     here, before, after = F.col(name), F.col(f"prev_{name}"), F.col(f"next_{name}")
-    wp = F.when(before.isNull(), F.lit(0.0)).otherwise(w_prev)
-    wn = F.when(after.isNull(), F.lit(0.0)).otherwise(w_next)
+    wp = F.when(before.isNull(), F.lit(0.0)).otherwise(F.col(w_prev))
+    wn = F.when(after.isNull(), F.lit(0.0)).otherwise(F.col(w_next))
     mixed = (
         wp * F.coalesce(before, here) + (F.lit(1.0) - wp - wn) * here + wn * F.coalesce(after, here)
     )
@@ -123,15 +123,14 @@ def score_dynamics(current: DataFrame, buckets: DataFrame, options: DynamicsOpti
     keyed = current.withColumn("bucket", season.season_key(F.col("ts"), trend))
     transition = 0 if trend == "none" else options.transition_secs
     w_prev, w_next = season.blend_weights(F.col("ts"), season.HOUR, transition)
-    k = F.lit(options.std_dev_multiplier)
-    mean, std = blended("mean", w_prev, w_next), blended("std", w_prev, w_next)
+    reach = F.lit(options.std_dev_multiplier) * F.col("_std")
+    lower = F.when(F.col("_mean").isNotNull(), F.greatest(F.col("_mean") - reach, F.lit(0.0)))
     return (
         attach(keyed, wide, ["series_id", "bucket"])
-        .withColumn("baseline", mean)
-        .withColumn("_std", std)
-        .withColumn("upper_bound", F.col("baseline") + k * F.col("_std"))
-        .withColumn("lower_bound", F.greatest(F.col("baseline") - k * F.col("_std"), F.lit(0.0)))
-        .withColumn("lower_bound", F.when(F.col("baseline").isNotNull(), F.col("lower_bound")))
+        .select("series_id", "ts", "value", w_prev.alias("_wp"), w_next.alias("_wn"),
+                *[c for c in wide.columns if c not in ("series_id", "bucket")])
+        .select("series_id", "ts", "value", blended("mean").alias("_mean"), blended("std").alias("_std"))
+        .select("series_id", "ts", "value", F.col("_mean").alias("baseline"),
+                lower.alias("lower_bound"), (F.col("_mean") + reach).alias("upper_bound"))
         .withColumn("anomaly", flag_outside(F.col("value"), F.col("lower_bound"), F.col("upper_bound")))
-        .select(*RESULT)
     )

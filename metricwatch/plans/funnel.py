@@ -59,13 +59,13 @@ def l1_filter(
     keyed = attach(current, layout).withColumn(
         "bucket", season.season_key(F.col("ts"), F.col("effective_trend"), F.col("slot_secs"))
     )
-    wide = attach(keyed, buckets, ["series_id", "bucket"])
     blend = F.when(F.col("effective_trend") == "none", F.lit(0)).otherwise(F.lit(options.transition_secs))
     w_prev, w_next = season.blend_weights(F.col("ts"), F.col("slot_secs"), blend)
+    wide = attach(keyed, buckets, ["series_id", "bucket"]).withColumn("_wp", w_prev).withColumn("_wn", w_next)
     robust = F.col("median").isNotNull()
-    spread = blended("std", w_prev, w_next) * F.when(F.col("method") == "mad", MAD_SIGMA).otherwise(1.0)
-    center = F.when(robust, blended("median", w_prev, w_next)).otherwise(blended("mean", w_prev, w_next))
-    scale = F.when(robust, blended("scale", w_prev, w_next)).otherwise(spread)
+    spread = blended("std") * F.when(F.col("method") == "mad", MAD_SIGMA).otherwise(1.0)
+    center = F.when(robust, blended("median")).otherwise(blended("mean"))
+    scale = F.when(robust, blended("scale")).otherwise(spread)
     factor = F.when(F.col("method") == "iqr", F.lit(IQR_FACTOR)).otherwise(F.lit(1.0))
     flat = F.col("_scale") <= FLAT_SCALE
 
