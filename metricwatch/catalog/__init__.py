@@ -1,6 +1,6 @@
 """All registered queries; importing this package fills the registry."""
 
-from metricwatch.catalog import classify, dynamics, funnel, outliers, prepare, statistics
+from metricwatch.catalog import classify, dynamics, ensemble, funnel, outliers, prepare, statistics
 from metricwatch.catalog.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "classify", "dynamics", "funnel", "outliers", "prepare", "statistics"]
+__all__ = ["ORACLE", "QUERIES", "classify", "dynamics", "ensemble", "funnel", "outliers", "prepare", "statistics"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from metricwatch.catalog.prepare import pts
@@ -163,16 +165,12 @@ def season_ctes() -> tuple:
     with_ctes("didx", *season_ctes()) + f"SELECT series_id, array_to_string(periods, ',') AS periods, {q_sql('strength')} AS strength FROM se",
 )
 def seasonality(spark, folder):
-    floor, classify.ACF_FLOOR = classify.ACF_FLOOR, 0.02
-    try:
-        found = classify.seasonality(row_index(daily(spark, folder)), SEASON)
-    finally:
-        classify.ACF_FLOOR = floor
+    found = classify.seasonality(row_index(daily(spark, folder)), replace(SEASON, acf_floor=0.02))
     return found.select("series_id", F.array_join("periods", ",").alias("periods"), q("strength").alias("strength"))
 
 
 MA = (
-    ("hr", "SELECT series_id, ts // 3600 * 3600 AS ts, avg(value) + 12 * sin((ts // 3600 * 3600) * pi() / 43200) AS value FROM raw GROUP BY 1, 2"),
+    ("hr", "SELECT series_id, ts // 3600 * 3600 AS ts, avg(value) + 40 * sin((ts // 3600 * 3600) * pi() / 43200) AS value FROM raw GROUP BY 1, 2"),
     ("hx", "SELECT *, row_number() OVER (PARTITION BY series_id ORDER BY ts) - 1 AS rn FROM hr"),
 )
 
@@ -180,7 +178,7 @@ MA = (
 def wavy(spark, folder):
     """Hourly means with a daily wave on top, so that there is a period to find."""
     hourly = prepare.resample(read_events(spark, folder), 3_600)
-    wave = F.sin(F.col("ts") * F.lit(3.141592653589793) / 43_200) * 12
+    wave = F.sin(F.col("ts") * F.lit(3.141592653589793) / 43_200) * 40
     return row_index(hourly.withColumn("value", F.col("value") + wave))
 
 

@@ -142,6 +142,7 @@ class ClassifierOptions:
     irregular_cv_threshold: float = 0.8
     max_seasonal_period: int = 336
     min_data_length: int = 30
+    acf_floor: float = 0.1
     use_periodicity: bool = True
     candidate_periods: tuple[int, ...] = field(default=(7, 24, 48, 168, 30, 52, 365))
 

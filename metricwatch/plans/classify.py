@@ -10,7 +10,6 @@ from metricwatch.operators.ordered import row_index
 from metricwatch.operators.prepare import missing_gate
 from metricwatch.options import ClassifierOptions
 
-ACF_FLOOR = 0.1
 PEAK_FLOOR, PEAK_TOP = 0.2, 5
 TREND_ROWS = 10  # heuristic classification needs at least this many points
 
@@ -25,7 +24,7 @@ def seasonality(indexed: DataFrame, options: ClassifierOptions) -> DataFrame:
     acf = correlation.autocorrelation(indexed, lags).where(F.col("lag") > 0)
     long_enough = (F.col("n") >= 2 * options.max_seasonal_period) & (F.col("n") >= 2 * F.col("lag"))
     strength = F.least(F.abs(F.coalesce("acf", F.lit(0.0))), F.lit(1.0))
-    kept = acf.where(long_enough).withColumn("_s", strength).where(F.col("_s") > ACF_FLOOR)
+    kept = acf.where(long_enough).withColumn("_s", strength).where(F.col("_s") > options.acf_floor)
     pairs = F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("lag").cast("int").alias("p"))))
     return kept.groupBy("series_id").agg(
         F.transform(pairs, lambda x: x["p"]).alias("periods"), F.least(F.avg("_s"), F.lit(1.0)).alias("strength")
