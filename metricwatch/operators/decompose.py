@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from metricwatch.operators import correlation
 from metricwatch.operators.features import trailing_residual
 from metricwatch.operators.joins import attach
-from metricwatch.operators.ordered import running_sum
+from metricwatch.operators.ordered import rolling
 from metricwatch.operators.quantiles import exact_quantiles
 from metricwatch.session import cut_lineage
 
@@ -29,38 +29,44 @@ def usable_periods(periods: Column, n: Column) -> Column:
     return F.filter(F.array_distinct(periods), lambda p: p * 2 <= n)
 
 
-def centred_mean(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Mean over positions rn - half .. rn + half within the series; `half` and `n` are columns.
+def centred_mean(rows: DataFrame, value: str, out: str, half: Column | int) -> DataFrame:
+    """Mean over positions rn - half .. rn + half within the series.
 
-    The width may differ by series, so the mean is a difference of running sums.
+    A fixed half width is a plain frame. One that differs by series (at most MAX_PERIOD / 2)
+    is cut out of the widest frame, so the rows are read once either way.
     """
-    sums = running_sum(rows.select("series_id", "rn", value), {"_sum": value}).select("series_id", "rn", "_sum")
-    last = F.least(F.col("rn") + F.col("half"), F.col("n") - 1)
-    first = F.greatest(F.col("rn") - F.col("half"), F.lit(0))
-    upto = sums.select("series_id", F.col("rn").alias("_hi"), F.col("_sum").alias("_s_hi"))
-    before = sums.select("series_id", (F.col("rn") + 1).alias("_lo"), F.col("_sum").alias("_s_lo"))
-    return (
-        rows.withColumn("_hi", last).withColumn("_lo", first)
-        .join(upto, ["series_id", "_hi"]).join(before, ["series_id", "_lo"], "left")
-        .withColumn(out, (F.col("_s_hi") - F.coalesce("_s_lo", F.lit(0.0))) / (F.col("_hi") - F.col("_lo") + 1))
-        .drop("_hi", "_lo", "_s_hi", "_s_lo")
-    )
-
-
-def remove_season(rows: DataFrame, value: str, period: Column, season: str) -> DataFrame:
-    """Add the seasonal part of `value` for one period per series (0 where the period is NULL)."""
-    width = rows.withColumn("period", period.cast("long")).withColumn("half", F.floor(F.coalesce("period", F.lit(1)) / 2))
-    wide = centred_mean(width, value, "_trend")
-    phased = wide.withColumn("_phase", F.pmod("rn", F.coalesce("period", F.lit(1)))).withColumn(
-        "_rest", F.col(value) - F.col("_trend")
-    )
-    median = exact_quantiles(phased.where(F.col("period").isNotNull()), ["series_id", "_phase"], "_rest", {"_median": 0.5}).drop("n")
+    if isinstance(half, int):
+        def fixed(w: WindowSpec) -> Column:
+            return F.avg(value).over(w.rowsBetween(-half, half))
+
+        return rolling(rows, {out: fixed}, half, half)
+    widest = MAX_PERIOD // 2
+    wide = rolling(
+        rows, {"_seen": lambda w: F.collect_list(value).over(w.rowsBetween(-widest, widest))}, widest, widest
+    ).withColumn("_half", half.cast("int"))
+    here = F.least(F.col("rn"), F.lit(widest)).cast("int")
+    first = F.greatest(here - F.col("_half"), F.lit(0))
+    last = F.least(here + F.col("_half"), F.size("_seen") - 1)
+    span = F.slice("_seen", first + 1, last - first + 1)
+    mean = F.aggregate(span, F.lit(0.0), lambda acc, v: acc + v) / F.size(span)
+    return wide.withColumn(out, mean).drop("_seen", "_half")
+
+
+def remove_season(rows: DataFrame, value: str, period: Column | int, season: str) -> DataFrame:
+    """Add the seasonal part of `value`: for one period, or one per series (0 where that is NULL)."""
+    fixed = isinstance(period, int)
+    length = F.lit(period) if fixed else F.coalesce(period, F.lit(1))
+    wide = centred_mean(rows, value, "_trend", period // 2 if fixed else F.floor(length / 2))
+    phased = wide.withColumn("_phase", F.pmod("rn", length)).withColumn("_away", F.col(value) - F.col("_trend"))
+    median = exact_quantiles(phased, ["series_id", "_phase"], "_away", {"_median": 0.5}).drop("n")
     level = median.groupBy("series_id").agg(F.avg("_median").alias("_level"))
-    shape = median.join(level, "series_id").select("series_id", "_phase", (F.col("_median") - F.col("_level")).alias(season))
+    shape = median.join(level, "series_id").select("series_id", "_phase", (F.col("_median") - F.col("_level")).alias("_shape"))
+    part = F.coalesce("_shape", F.lit(0.0))
+    if not fixed:
+        part = F.when(period.isNotNull(), part).otherwise(F.lit(0.0))
     return (
-        attach(phased, shape, ["series_id", "_phase"], spread_by="rn")
-        .withColumn(season, F.coalesce(season, F.lit(0.0)))
-        .drop("_phase", "_rest", "_trend", "half", "period")
+        attach(phased, shape, ["series_id", "_phase"], spread_by="rn").withColumn(season, part)
+        .drop("_phase", "_away", "_trend", "_shape")
     )
 
 
@@ -72,13 +78,14 @@ def decompose(indexed: DataFrame, periods: Sequence[int], value: str = "value")
     """
     wanted = sorted(set(periods))
     fits = usable_periods(F.array(*[F.lit(p) for p in wanted]), F.col("n"))
-    rows = indexed.withColumn("_rest_value", F.col(value)).withColumn("usable", fits)
+    rows = indexed.withColumn("_left", F.col(value)).withColumn("usable", fits)
     for p in wanted:
-        rows = remove_season(rows, "_rest_value", F.when(F.array_contains("usable", F.lit(p)), F.lit(p)), f"season_{p}")
-        rows = rows.withColumn("_rest_value", F.col("_rest_value") - F.col(f"season_{p}"))
-    rows = rows.withColumn("half", F.floor(F.coalesce(F.array_max("usable"), F.lit(1)) / 2).cast("long"))
-    rows = centred_mean(rows, "_rest_value", "trend")
-    return rows.withColumn("residual", F.col("_rest_value") - F.col("trend")).drop("_rest_value", "half")
+        # Every step reads its input several times; writing it down keeps that from multiplying.
+        rows = cut_lineage(remove_season(rows, "_left", p, f"season_{p}"))
+        season = F.when(F.array_contains("usable", F.lit(p)), F.col(f"season_{p}")).otherwise(F.lit(0.0))
+        rows = rows.withColumn(f"season_{p}", season).withColumn("_left", F.col("_left") - F.col(f"season_{p}"))
+    rows = centred_mean(rows, "_left", "trend", max(wanted) // 2)
+    return rows.withColumn("residual", F.col("_left") - F.col("trend")).drop("_left")
 
 
 def seasonal_strength(season: Column, residual: Column) -> Column:
@@ -102,7 +109,7 @@ def strengths(parts: DataFrame, periods: Sequence[int]) -> DataFrame:
 
 def season_residuals(indexed: DataFrame, periods: Sequence[int], value: str = "value") -> DataFrame:
     """Add `y`: the residual where a strong season was found, else the value itself."""
-    parts = decompose(indexed, periods, value)
+    parts = cut_lineage(decompose(indexed, periods, value))
     strong = strengths(parts, periods).select("series_id", "periods")
     wide = attach(parts.select(*indexed.columns, "residual"), strong)
     return wide.withColumn("y", F.when(F.size("periods") > 0, F.col("residual")).otherwise(F.col(value))).drop("residual")
@@ -128,10 +135,12 @@ def auto_decompose(indexed: DataFrame, value: str = "value", rounds: int = MAX_R
     rows = indexed.withColumn("y", F.col(value)).withColumn("periods", F.array().cast("array<bigint>")).withColumn("_open", F.lit(True))
     for _ in range(rounds):
         found = dominant_period(rows.where("_open"), "y")
-        wide = attach(rows, found).withColumn("period", F.when(F.col("_open") & (F.col("period") * 2 <= F.col("n")), F.col("period")))
-        wide = remove_season(wide.withColumnRenamed("period", "_p"), "y", F.col("_p"), "_season")
-        wide = wide.withColumn("_flat", F.col("y") - F.col("_season")).withColumn("half", F.floor(F.coalesce("_p", F.lit(1)) / 2))
-        wide = centred_mean(wide, "_flat", "_trend").withColumn("_res", F.col("_flat") - F.col("_trend"))
+        fits = F.when(F.col("_open") & (F.col("period") * 2 <= F.col("n")), F.col("period"))
+        wide = attach(rows, cut_lineage(found)).withColumn("_p", fits).drop("period")
+        wide = cut_lineage(remove_season(wide, "y", F.col("_p"), "_season"))
+        wide = wide.withColumn("_flat", F.col("y") - F.col("_season"))
+        wide = centred_mean(wide, "_flat", "_trend", F.floor(F.coalesce("_p", F.lit(1)) / 2))
+        wide = wide.withColumn("_res", F.col("_flat") - F.col("_trend"))
         strong = wide.where(F.col("_p").isNotNull()).groupBy("series_id").agg(
             seasonal_strength(F.col("_season"), F.col("_res")).alias("_strength")
         )

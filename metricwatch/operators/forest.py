@@ -122,7 +122,7 @@ def score_forest(rows: DataFrame, forest: DataFrame, block_rows: int = BLOCK_ROW
     blocks = rows.select("series_id", "ts", "rn", *FOREST_FEATURES).withColumn("_block", F.floor(F.col("rn") / block_rows))
     where = blocks.select("series_id", "_block").distinct()
     # A forest is at most n_trees trees of one sample each; one copy goes to every block.
-    copies = where.join(forest, "series_id")
+    copies = where.join(forest, "series_id").withColumnsRenamed({"series_id": "_of", "_block": "_at"})
 
     def one(points: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         out = points[["series_id", "ts", "rn"]].copy()
@@ -133,8 +133,7 @@ def score_forest(rows: DataFrame, forest: DataFrame, block_rows: int = BLOCK_ROW
         out["score"] = np.power(2.0, -total / trees) if trees else np.nan
         return out
 
-    keys = ("series_id", "_block")
-    return blocks.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(
+    return blocks.groupBy("series_id", "_block").cogroup(copies.groupBy("_of", "_at")).applyInPandas(
         one, "series_id string, ts long, rn long, score double"
     )
 
