@@ -266,7 +266,7 @@ def routing_decisions(spark, folder):
 
 @query("funnel_two_levels")
 def funnel_two_levels(spark, folder):
-    options = FunnelOptions(trend="daily", bucket_slot_secs=3_600, enable_l2=True)
+    options = FunnelOptions(trend="daily", bucket_slot_secs=3_600, enable_l2=True, forecast_iterations=5)
     return funnel.detect_funnel(current(spark, folder), history(spark, folder), options)
 
 

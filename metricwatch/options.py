@@ -72,6 +72,7 @@ class FunnelOptions:
     profile_outlier_k: float = 3.5
     transition_minutes: int = 15
     max_missing_rate: float = 0.3
+    forecast_iterations: int = 20
 
     def __post_init__(self) -> None:
         _require(self.trend is None or self.trend in TRENDS, f"unknown trend {self.trend!r}")

@@ -55,7 +55,7 @@ def second_level(l1: DataFrame, history: DataFrame, meta: DataFrame, options: Fu
         found.append(kept.select("series_id", "ts", F.col("value").alias("baseline"), none.alias("lower_bound"),
                                  none.alias("upper_bound"), "anomaly"))
     if any(m == "forecast" for m, _ in groups):
-        bands = ForecastOptions(periods=options.periods, std_dev_multiplier=options.std_dev_multiplier)
+        bands = ForecastOptions(periods=options.periods, std_dev_multiplier=options.std_dev_multiplier, iterations=options.forecast_iterations)
         found.append(detect_forecast(part(l1, "forecast"), part(past, "forecast"), bands))
     for trend in TRENDS:
         if ("baseline", trend) in groups:

@@ -14,6 +14,7 @@ from metricwatch.operators.robust_buckets import bucket_stats
 from metricwatch.options import FunnelOptions
 from metricwatch.plans import profile
 from metricwatch.plans.dynamics import RESULT, blended, flag_outside, with_neighbours
+from metricwatch.session import cut_lineage
 
 IQR_FACTOR = 1.5
 FLAT_SCALE, FLAT_WIDTH = 1e-12, 1e-9
@@ -153,6 +154,7 @@ def detect_funnel(
     if options.enable_l2:
         from metricwatch.plans.escalate import second_level
 
+        l1 = cut_lineage(l1)  # every detector of the second level reads it
         scored = merge_levels(l1, second_level(l1, history, meta, options))
     else:
         # The flag follows the band that is shown; an uncertain point is no anomaly.

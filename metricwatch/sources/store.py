@@ -34,10 +34,11 @@ def _current(spark: SparkSession, root: str, key: str) -> int:
     return max(found, default=-1)
 
 
-def save_tables(root: str, key: str, **tables: DataFrame) -> int:
+def save_tables(root: str, key: str, keep: int = 3, **tables: DataFrame) -> int:
     """Write a new version of the named tables; readers see it once all are complete.
 
     The version being read is never overwritten, so a table may depend on its predecessor.
+    The newest `keep` versions stay.
     """
     spark = next(iter(tables.values())).sparkSession
     version = _current(spark, root, key) + 1
@@ -46,6 +47,8 @@ def save_tables(root: str, key: str, **tables: DataFrame) -> int:
         table.withColumn("format_version", F.lit(FORMAT_VERSION)).write.mode("overwrite").parquet(f"{base}/{name}")
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/DONE")
     done.getFileSystem(spark._jsc.hadoopConfiguration()).create(done, True).close()
+    if version >= keep:
+        delete_tables(spark, f"{root}/{key}", f"v={version - keep}")
     return version
 
 
