@@ -76,7 +76,7 @@ def anomaly_clusters(spark, folder):
     with_ctes("pts", *WINDOWS, *_CLUSTERS,
               ("mx", "SELECT series_id, least(2, max(cluster)) AS cluster FROM cl GROUP BY 1"),
               ("ch", "SELECT cl.* FROM cl JOIN mx USING (series_id, cluster)"),
-              ("bd", "SELECT li.*, coalesce(greatest(first_rn - 20, 0), greatest(n - 40, 0)) AS a, coalesce(least(last_rn + 21, n), n) AS b FROM li LEFT JOIN ch USING (series_id)"))
+              ("bd", "SELECT li.*, CASE WHEN first_rn IS NULL THEN greatest(n - 40, 0) ELSE greatest(first_rn - 20, 0) END AS a, CASE WHEN first_rn IS NULL THEN n ELSE least(last_rn + 21, n) END AS b FROM li LEFT JOIN ch USING (series_id)"))
     + "SELECT series_id, ts, label, CASE WHEN rn < a THEN 'history' ELSE 'current' END AS role FROM bd WHERE rn < b",
 )
 def split_around_cluster(spark, folder):

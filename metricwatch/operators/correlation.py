@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricwatch.operators.joins import attach
-from metricwatch.operators.ordered import with_halo
+from metricwatch.operators.ordered import BLOCK_ROWS, with_halo
 
 LAG_LIMIT = 2_048
 
@@ -26,6 +26,7 @@ def lag_products(
     max_lag: str | None = None,
     limit: int = LAG_LIMIT,
     index: str = "rn",
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """`series_id, lag, product, pairs`: Σ x[i]·x[i-lag] over each series.
 
@@ -35,7 +36,7 @@ def lag_products(
     wanted = None if lags is None else np.asarray(sorted(set(lags)), dtype=np.int64)
     back = limit if wanted is None else int(wanted.max())
     columns = ["series_id", index, value] + ([max_lag] if max_lag else [])
-    blocks = with_halo(indexed.select(*columns), back, index=index)
+    blocks = with_halo(indexed.select(*columns), back, index=index, block_rows=block_rows)
     own = F.col("_block") == F.col("_home")
 
     def one(group: pd.DataFrame) -> pd.DataFrame:

@@ -81,8 +81,10 @@ def split_around_cluster(labelled: DataFrame, current_rows: int, cluster: int =
     chosen = clusters.join(last, "series_id").where(F.col("cluster") == F.least(F.lit(cluster), F.col("_max")))
     wide = attach(indexed, chosen.select("series_id", "first_rn", "last_rn"))
     half = current_rows // 2
-    start = F.coalesce(F.greatest(F.col("first_rn") - half, F.lit(0)), F.greatest(F.col("n") - current_rows, F.lit(0)))
-    end = F.coalesce(F.least(F.col("last_rn") + half + 1, F.col("n")), F.col("n"))
+    found = F.col("first_rn").isNotNull()  # greatest and least pass over NULLs
+    tail = F.greatest(F.col("n") - current_rows, F.lit(0))
+    start = F.when(found, F.greatest(F.col("first_rn") - half, F.lit(0))).otherwise(tail)
+    end = F.when(found, F.least(F.col("last_rn") + half + 1, F.col("n"))).otherwise(F.col("n"))
     role = F.when(F.col("rn") < start, "history").when(F.col("rn") < end, "current")
     return wide.withColumn("role", role).where(F.col("role").isNotNull()).drop("first_rn", "last_rn", "rn", "n")
 
