@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from metricwatch.catalog.dynamics import T0
+from metricwatch.catalog.dynamics import T0, dynamics_sql, run_dynamics
 from metricwatch.catalog.funnel import current, history
 from metricwatch.catalog.prepare import calendar_sql, pts
 from metricwatch.catalog.registry import query, with_ctes
@@ -16,7 +16,7 @@ from metricwatch.operators.joins import attach
 from metricwatch.operators.ordered import row_index
 from metricwatch.options import ClassifierOptions, DynamicsOptions, ForecastOptions, FunnelOptions, LegacyBaselineOptions
 from metricwatch.plans import escalate, forecast, funnel
-from metricwatch.plans.dynamics import detect_dynamics
+from metricwatch.plans.dynamics import lookback
 from metricwatch.plans.legacy import detect_legacy_baseline
 from metricwatch.sources import labels, render
 
@@ -154,18 +154,25 @@ def series_names(spark, folder):
     return c.select("c_custkey", name.alias("name"), render.column_name("A", F.col("c_mktsegment"), "Pred").alias("col"))
 
 
+BAND_SQL = dynamics_sql("daily", 30, 2.0, 900)
+
+
 def _dynamics(spark, folder):
-    return detect_dynamics(current(spark, folder), history(spark, folder), DynamicsOptions("daily"))
+    return run_dynamics(spark, folder, DynamicsOptions("daily"))
 
 
-@query("anomaly_points")
+@query("anomaly_points", f"SELECT series_id, ts, value AS anomaly_value FROM ({BAND_SQL}) WHERE anomaly = 1")
 def anomaly_points(spark, folder):
     return render.anomaly_points(_dynamics(spark, folder))
 
 
-@query("baseline_frame")
+@query(
+    "baseline_frame",
+    "SELECT series_id, make_timestamp(ts * 1000000) AS time, baseline, lower_bound, upper_bound, "
+    f"CASE WHEN anomaly = 1 THEN value END AS anomaly_value FROM ({BAND_SQL})",
+)
 def baseline_frame(spark, folder):
-    return render.result_frame(_dynamics(spark, folder), "baseline")
+    return render.result_frame(_dynamics(spark, folder), "baseline").withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
 @query(
@@ -176,6 +183,15 @@ def outlier_frame(spark, folder):
     return render.result_frame(flagged(spark, folder), "outlier").withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
+@query(
+    "lookback_window",
+    with_ctes("pts", ("t0", f"SELECT series_id, min(ts) AS t0 FROM pts WHERE ts >= {T0} GROUP BY 1"))
+    + f"SELECT series_id, ts, value FROM pts JOIN t0 USING (series_id) WHERE ts < {T0} AND ts >= t0 - {10 * DAY}",
+)
+def lookback_window(spark, folder):
+    return lookback(history(spark, folder), current(spark, folder), 10)
+
+
 @query(
     "match_history_by_name",
     with_ctes("pts", ("h", f"SELECT series_id, count(*) AS h FROM pts WHERE ts < {T0} GROUP BY 1"), ("c", f"SELECT series_id, count(*) AS c FROM pts WHERE ts >= {T0} GROUP BY 1"))

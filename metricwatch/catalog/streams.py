@@ -11,12 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricwatch.catalog.dynamics import T0
-from metricwatch.catalog.funnel import BANDS, DAILY, history, l1_ctes
+from metricwatch.catalog.funnel import BANDS, DAILY, HIST, SAMPLES, current, history, l1_ctes, purge_ctes
 from metricwatch.catalog.registry import query, with_ctes
 from metricwatch.catalog.statistics import rounded, rounded_sql
 from metricwatch.functions.numeric import q, q_sql
+from metricwatch.operators import forest
+from metricwatch.operators.ordered import row_index
+from metricwatch.options import OutlierOptions
 from metricwatch.session import checkpoint_dir
-from metricwatch.sources.store import load_tables
+from metricwatch.sources.store import load_tables, model_key, save_tables
 from metricwatch.streaming import online, points
 
 LATE = 600
@@ -110,3 +113,21 @@ def stream_profile_upkeep(spark, folder):
     run = online.run_online(_current_stream(spark, folder), f"{base}/store", "profile", f"{base}/out", f"{base}/state", DAILY)
     run.awaitTermination()
     return load_tables(spark, f"{base}/store", "profile", "samples")[0]
+
+
+@query("stored_profile", with_ctes("pts", HIST, SAMPLES, *purge_ctes("b", 3.5, 5, 10, "kept")) + "SELECT series_id, bucket, ts, value FROM kept")
+def stored_profile(spark, folder):
+    """A profile as it comes back from its table."""
+    base = scratch(spark)
+    online.save_profile(base, "profile", history(spark, folder), DAILY)
+    return load_tables(spark, base, "profile", "samples")[0]
+
+
+@query("stored_forest_scores")
+def stored_forest_scores(spark, folder):
+    """Later points scored with a forest trained on earlier ones and saved."""
+    base, options = scratch(spark), OutlierOptions(n_trees=10)
+    scaling, nodes = forest.fit_forest(row_index(history(spark, folder)), options)
+    key = model_key(options)
+    save_tables(base, key, scaling=scaling, forest=nodes)
+    return forest.forest_scores(row_index(current(spark, folder)), options, load_tables(spark, base, key, "scaling", "forest"))

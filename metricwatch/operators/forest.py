@@ -22,7 +22,7 @@ from metricwatch.operators.ordered import BLOCK_ROWS
 from metricwatch.options import OutlierOptions
 
 SAMPLE_SHARE = 0.1
-SAMPLE_ROWS = 1 << 16  # a tree's sample never outgrows one task
+SAMPLE_ROWS = 1 << 12  # at most this many rows train a tree, so a forest stays small beside a block
 EULER = 0.5772156649015329
 NODE_SCHEMA = (
     "series_id string, tree int, node int, left int, right int, size long, depth int, "
@@ -122,7 +122,7 @@ def score_forest(rows: DataFrame, forest: DataFrame, block_rows: int = BLOCK_ROW
     blocks = rows.select("series_id", "ts", "rn", *FOREST_FEATURES).withColumn("_block", F.floor(F.col("rn") / block_rows))
     where = blocks.select("series_id", "_block").distinct()
     # A forest is at most n_trees trees of one sample each; one copy goes to every block.
-    copies = where.join(forest, "series_id").withColumnsRenamed({"series_id": "_of", "_block": "_at"})
+    copies = attach(where, forest, how="inner", spread_by="_block").withColumnsRenamed({"series_id": "_of", "_block": "_at"})
 
     def one(points: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         out = points[["series_id", "ts", "rn"]].copy()

@@ -119,7 +119,7 @@ def value_ranks(indexed: DataFrame, value: str = "value", cuts: int = 256) -> Da
         "_chunk", F.size(F.filter("_cuts", lambda c: c < F.col(value)))
     )
     ranked = row_index(placed.drop("_cuts"), order=value, chunk=F.col("_chunk"), out="rank")
-    return indexed.join(ranked.select("series_id", value, "rank"), ["series_id", value])
+    return attach(indexed, ranked.select("series_id", value, "rank"), ["series_id", value], "inner", "rn")
 
 
 def mann_kendall(indexed: DataFrame, value: str = "value") -> DataFrame:

@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from metricwatch.session import cut_lineage
+
 SPREAD = 8
+BROADCAST_ROWS = 500_000  # rows of a few numbers each: some tens of megabytes
 SALT = "_spread"
 
 
@@ -39,3 +42,21 @@ def attach(
     right = per_key.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     joined = left.join(right, [*keys, SALT], how)
     return joined if SALT in points.columns else joined.drop(SALT)
+
+
+def attach_checked(
+    points: DataFrame,
+    per_key: DataFrame,
+    keys: Sequence[str] = ("series_id",),
+    how: str = "left",
+    most: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """`attach` that leaves the long side where it is when the small side is known to be small.
+
+    The small side is written down once and counted. Up to `most` rows are broadcast, so the
+    points go from the scan through the join without a shuffle; beyond that both sides are spread.
+    """
+    known = cut_lineage(per_key)
+    if known.count() <= most:
+        return points.join(F.broadcast(known), list(keys), how)
+    return attach(points, known, keys, how)

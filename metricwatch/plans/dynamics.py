@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricwatch.functions import season
-from metricwatch.operators.joins import attach
+from metricwatch.operators.joins import attach_checked
 from metricwatch.options import DynamicsOptions
 
 RESULT = ("series_id", "ts", "value", "baseline", "lower_bound", "upper_bound", "anomaly")
@@ -25,7 +25,7 @@ def split_roles(points: DataFrame, start: int, boundary: int, end: int | None =
 def lookback(history: DataFrame, current: DataFrame, days: int) -> DataFrame:
     """History within `days` before each series' first current point, and before it."""
     starts = current.groupBy("series_id").agg(F.min("ts").alias("_t0"))
-    return attach(history, starts, how="inner").where(
+    return attach_checked(history, starts, how="inner").where(
         (F.col("ts") >= F.col("_t0") - days * season.DAY) & (F.col("ts") < F.col("_t0"))
     ).drop("_t0")
 
@@ -126,7 +126,7 @@ def score_dynamics(current: DataFrame, buckets: DataFrame, options: DynamicsOpti
     reach = F.lit(options.std_dev_multiplier) * F.col("_std")
     lower = F.when(F.col("_mean").isNotNull(), F.greatest(F.col("_mean") - reach, F.lit(0.0)))
     return (
-        attach(keyed, wide, ["series_id", "bucket"])
+        attach_checked(keyed, wide, ["series_id", "bucket"])
         .select("series_id", "ts", "value", w_prev.alias("_wp"), w_next.alias("_wn"),
                 *[c for c in wide.columns if c not in ("series_id", "bucket")])
         .select("series_id", "ts", "value", blended("mean").alias("_mean"), blended("std").alias("_std"))

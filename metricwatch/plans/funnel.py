@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from metricwatch.functions import season
 from metricwatch.operators.aggregates import population_skewness, threshold_method
-from metricwatch.operators.joins import attach
+from metricwatch.operators.joins import attach, attach_checked
 from metricwatch.operators.prepare import eval_window, missing_gate
 from metricwatch.operators.quantiles import MAD_SIGMA
 from metricwatch.operators.robust_buckets import bucket_stats
@@ -57,12 +57,12 @@ def l1_filter(
     layout = meta.select("series_id", "effective_trend", "slot_secs").join(
         methods.select("series_id", "method"), "series_id", "left"
     )
-    keyed = attach(current, layout).withColumn(
+    keyed = attach_checked(current, layout).withColumn(
         "bucket", season.season_key(F.col("ts"), F.col("effective_trend"), F.col("slot_secs"))
     )
     blend = F.when(F.col("effective_trend") == "none", F.lit(0)).otherwise(F.lit(options.transition_secs))
     w_prev, w_next = season.blend_weights(F.col("ts"), F.col("slot_secs"), blend)
-    wide = attach(keyed, buckets, ["series_id", "bucket"]).withColumn("_wp", w_prev).withColumn("_wn", w_next)
+    wide = attach_checked(keyed, buckets, ["series_id", "bucket"]).withColumn("_wp", w_prev).withColumn("_wn", w_next)
     robust = F.col("median").isNotNull()
     spread = blended("std") * F.when(F.col("method") == "mad", MAD_SIGMA).otherwise(1.0)
     center = F.when(robust, blended("median")).otherwise(blended("mean"))
