@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from metricwatch.operators.aggregates import (
     normal_density_skewness, population_skewness, threshold_method,
 )
-from metricwatch.operators.joins import attach, salt
+from metricwatch.operators.joins import attach_checked, salt
 from metricwatch.operators.ordered import rolling
 from metricwatch.operators.prepare import missing_gate
 from metricwatch.operators.quantiles import exact_quantiles, floored_scale
+from metricwatch.session import cut_lineage
 
 # Fixed values of the detector.
 MAD_K, IQR_K = 3.0, 1.5
@@ -48,7 +49,8 @@ def robust_fences(points: DataFrame, value: str = "value") -> DataFrame:
     )
     rows = salt(points.where(F.col(value).isNotNull()))
     quarts = exact_quantiles(rows, ["series_id"], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
-    away = attach(rows, quarts.drop("n"), how="inner").withColumn("score", F.abs(F.col(value) - F.col("median")))
+    quarts = cut_lineage(quarts)
+    away = attach_checked(rows, quarts.drop("n"), how="inner").withColumn("score", F.abs(F.col(value) - F.col("median")))
     mad = exact_quantiles(away, ["series_id"], "score", {"_mad": 0.5}).drop("n")
     method = F.when(F.col("rows") < 3, "none").otherwise(
         F.when((threshold_method(F.col("skew")) == "evt") & (F.col("rows") < EVT_MIN_ROWS), "mad")
@@ -78,7 +80,7 @@ def flag_columns(value: str = "value") -> dict[str, Column]:
 def robust_flags(points: DataFrame, value: str = "value") -> DataFrame:
     """Flag outliers of each series by the rule its skewness selects."""
     flags = flag_columns(value)
-    wide = attach(points, robust_fences(points, value))
+    wide = attach_checked(points, robust_fences(points, value))
     picked = (
         F.when(F.col("method") == "mad", flags["mad"])
         .when(F.col("method") == "iqr", flags["iqr"])
@@ -91,7 +93,7 @@ def robust_flags(points: DataFrame, value: str = "value") -> DataFrame:
 def gated(points: DataFrame, flags: DataFrame) -> DataFrame:
     """No flags for constant series and series with too many zeros."""
     gates = missing_gate(points).select("series_id", "gate")
-    return attach(flags, gates).withColumn(
+    return attach_checked(flags, gates).withColumn(
         "anomaly", F.when(F.col("gate").isin("zeros", "constant"), F.lit(0)).otherwise(F.col("anomaly"))
     )
 
@@ -126,7 +128,7 @@ def rolling_iqr_flags(
 def score_flags(indexed: DataFrame, value: str = "value", score: str = "score") -> DataFrame:
     """Flags from anomaly scores; the rule follows the skewness of the values' normal density."""
     skew = normal_density_skewness(indexed, value).select("series_id", F.abs("pdf_skew").alias("_k"))
-    wide = attach(rolling_iqr_flags(indexed, score), skew.join(evt_fit(indexed, score), "series_id", "left"))
+    wide = attach_checked(rolling_iqr_flags(indexed, score), skew.join(evt_fit(indexed, score), "series_id", "left"))
     flag = (
         F.when(F.col("_k") >= SCORE_HIGH_SKEW, evt_flag(F.col(score)))
         .when(F.col("_k") >= SCORE_MEDIUM_SKEW, F.col("rolling_flag"))

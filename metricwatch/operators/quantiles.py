@@ -2,7 +2,8 @@
 
 A sketch proposes cut values close around each wanted rank; counting the rows between cuts
 tells exactly which stretch holds the rank; only that stretch is sorted. The sketch decides
-how little is sorted, never what comes out.
+how little is sorted, never what comes out. With few enough keys the rows are only scanned:
+cuts and ranks are broadcast to them, and nothing but the stretch is shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricwatch.operators.joins import SALT, attach, salt
+from metricwatch.operators.joins import SALT, attach, attach_checked, salt
 
 ACCURACY = 10_000
 MARGIN = 0.002
@@ -35,7 +36,7 @@ def exact_quantiles(
         F.percentile_approx("_v", cuts, ACCURACY).alias("_cuts"), F.count(F.lit(1)).alias("n")
     )
     stretch = sum(((F.col("_v") > F.col("_cuts")[i]).cast("int") for i in range(len(cuts))), F.lit(0))
-    placed = attach(rows, sketch, keys, "inner").withColumn("_stretch", stretch)
+    placed = attach_checked(rows, sketch, keys, "inner").withColumn("_stretch", stretch)
     sizes = placed.groupBy(*keys).agg(
         F.first("n").alias("_n"),
         *[F.count_if(F.col("_stretch") == i).alias(f"_size{i}") for i in stretches],
@@ -55,7 +56,7 @@ def exact_quantiles(
         base = end
     hit = sizes.withColumnRenamed("_n", "n").select(*keys, F.array(*starts).alias("_starts"))
     tight = (
-        attach(placed.drop("_cuts"), hit, keys, "inner")
+        attach_checked(placed.drop("_cuts"), hit, keys, "inner")
         .withColumn("_base", F.get("_starts", F.col("_stretch")))
         .where(F.col("_base").isNotNull())
         .groupBy(*keys, "_stretch", "_base", "n", "_v")
@@ -104,7 +105,7 @@ def median_mad(df: DataFrame, keys: Sequence[str], value: str = "value") -> Data
     """Exact `n`, `median` and floored `scale` per key, for groups of any size."""
     rows = salt(df.where(F.col(value).isNotNull()), value)
     med = exact_quantiles(rows, keys, value, {"median": 0.5})
-    dev = attach(rows, med, keys, "inner").withColumn("_dev", F.abs(F.col(value) - F.col("median")))
+    dev = attach_checked(rows, med, keys, "inner").withColumn("_dev", F.abs(F.col(value) - F.col("median")))
     mad = exact_quantiles(dev, keys, "_dev", {"_mad": 0.5}).drop("n")
     return med.join(mad, list(keys)).select(
         *keys, "n", "median", floored_scale(F.col("_mad"), F.col("median")).alias("scale")

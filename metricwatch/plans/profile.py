@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from metricwatch.functions import season
 from metricwatch.operators import aggregates
-from metricwatch.operators.joins import attach
+from metricwatch.operators.joins import attach, attach_checked
 from metricwatch.operators.ordered import rolling, row_index
 from metricwatch.operators.quantiles import exact_quantiles
 from metricwatch.operators.robust_buckets import keep_ranges
 from metricwatch.options import FunnelOptions
+from metricwatch.session import cut_lineage
 
 META = ("series_id", "trend", "effective_trend", "slot_secs", "last_seen_ts")
 SAMPLES = ("series_id", "bucket", "ts", "value")
@@ -132,16 +133,19 @@ def wanted_buckets(points: DataFrame, options: FunnelOptions) -> DataFrame:
 
 def build_profile(points: DataFrame, options: FunnelOptions = FunnelOptions()) -> tuple[DataFrame, DataFrame]:
     """`(meta, samples)` of a history, with obvious outliers scrubbed from the buckets."""
-    meta = choose_buckets(points, wanted_buckets(points, options), options)
-    samples = place(points, meta, options)
-    return meta.select(*META), purge(samples, options)
+    # One row per series, read by every later step: written down once.
+    meta = cut_lineage(choose_buckets(points, wanted_buckets(points, options), options).select(*META))
+    return meta, purge(place(points, meta, options), options)
 
 
 def place(points: DataFrame, meta: DataFrame, options: FunnelOptions) -> DataFrame:
     """Points of the lookback window with their bucket."""
     key = season.season_key(F.col("ts"), F.col("effective_trend"), F.col("slot_secs"))
     return (
-        attach(points.where(F.col("value").isNotNull()), meta.select("series_id", "effective_trend", "slot_secs", "last_seen_ts"), how="inner")
+        attach_checked(
+            points.where(F.col("value").isNotNull()),
+            meta.select("series_id", "effective_trend", "slot_secs", "last_seen_ts"), how="inner",
+        )
         .where(F.col("ts") >= F.col("last_seen_ts") - options.lookback_secs)
         .withColumn("bucket", key).select(*SAMPLES)
     )
