@@ -127,19 +127,19 @@ def circular_autocorrelation(indexed: DataFrame, value: str, max_lag: int) -> Da
 
 
 def peak_intervals(found: DataFrame, all_pairs: bool = False) -> DataFrame:
-    """Distances between peaks with their frequency; of neighbours, or of every ordered pair.
+    """Distances between peaks with their frequency: of neighbours, or of any two peaks.
 
-    Peaks are at most one per two lags, so a series has at most half its lag limit of them.
+    Any two: a distance occurs as often as the peaks and the peaks moved by it have lags in
+    common, so no pairs are formed. Peaks of a series are at most half its lag limit.
     """
     if all_pairs:
-        w = Window.partitionBy("series_id").orderBy("lag").rowsBetween(Window.unboundedPreceding, -1)
-        before = F.collect_list("lag").over(w)
-        gaps = found.withColumn("_before", before).select(
-            "series_id", F.explode(F.transform("_before", lambda b: F.col("lag") - b)).alias("interval")
-        )
-    else:
-        w = Window.partitionBy("series_id").orderBy("lag")
-        gaps = found.select("series_id", (F.col("lag") - F.lag("lag").over(w)).alias("interval"))
+        sets = found.groupBy("series_id").agg(F.collect_set("lag").alias("_p"), (F.max("lag") - F.min("lag")).alias("_w"))
+        steps = sets.where(F.col("_w") > 0).withColumn("interval", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_w"))))
+        moved = F.transform("_p", lambda lag: lag + F.col("interval"))
+        both = F.size(F.array_intersect("_p", moved)).cast("long")
+        return steps.select("series_id", "interval", both.alias("frequency")).where(F.col("frequency") > 0)
+    w = Window.partitionBy("series_id").orderBy("lag")
+    gaps = found.select("series_id", (F.col("lag") - F.lag("lag").over(w)).alias("interval"))
     return gaps.where(F.col("interval").isNotNull()).groupBy("series_id", "interval").agg(
         F.count(F.lit(1)).alias("frequency")
     )

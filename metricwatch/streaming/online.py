@@ -39,11 +39,13 @@ def run_online(
     checkpoint: str,
     options: FunnelOptions = FunnelOptions(),
     learn: bool = True,
+    every: str | None = None,
 ) -> StreamingQuery:
     """Score every micro-batch, write it under its batch id, and take it into the profile.
 
     A batch that is run again overwrites its own output; upserts and scrubbing give the same
-    profile again. The profile is read anew for each batch.
+    profile again. The profile is read anew for each batch. `every` is a processing-time
+    interval; without it the query ends when it has taken all there is.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -60,7 +62,5 @@ def run_online(
         finally:
             batch.unpersist()
 
-    return (
-        stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -120,3 +120,20 @@ def test_resampling_grid_and_splits(points):
     roles = by_series(prepare.cold_start_split(points([("s", i, i) for i in range(30)] + [("t", i, i) for i in range(9)])), "role")
     assert [sum(r == ("history",) for r in roles[s]) for s in "st"] == [21, 4]
     assert prepare.step_for(60, 7 * 86_400, 1_500) == 403 and prepare.step_for(60, 7 * 86_400, fixed_step=300) == 300
+
+
+def test_quantiles_without_broadcast(points, walk, monkeypatch):
+    """More keys than may be broadcast: both sides are spread instead, with the same result."""
+    from functools import partial
+
+    from metricwatch.operators import joins, quantiles
+
+    monkeypatch.setattr(quantiles, "attach_checked", partial(joins.attach_checked, most=0))
+    for r in exact_quantiles(points(walk), ["series_id"], "value", {"m": 0.5}).collect():
+        assert r["m"] == pytest.approx(float(np.median(values(walk, r["series_id"]))))
+
+
+def test_peak_intervals_of_any_two(spark):
+    found = spark.createDataFrame([("s", lag) for lag in (3, 7, 11, 12)], "series_id string, lag long")
+    got = {r["interval"]: r["frequency"] for r in correlation.peak_intervals(found, True).collect()}
+    assert got == {4: 2, 8: 1, 5: 1, 9: 1, 1: 1}
