@@ -46,15 +46,19 @@ def exact_quantiles(
         h = (F.col("n") - 1) * F.lit(float(p))
         wanted.append((name, h, F.floor(h), F.least(F.floor(h) + 1, F.col("n") - 1)))
     # Rank at which each stretch starts, NULL where no wanted rank lies in it.
-    starts, base = [], F.lit(0).cast("long")
-    for i in stretches:
-        end, inside = base + F.col(f"_size{i}"), F.lit(False)
-        for _, _, lo, hi in wanted:
-            for rank in (lo, hi):
-                inside = inside | ((rank >= base) & (rank < end))
-        starts.append(F.when(inside, base))
-        base = end
-    hit = sizes.withColumnRenamed("_n", "n").select(*keys, F.array(*starts).alias("_starts"))
+    ranks = [rank for _, _, lo, hi in wanted for rank in (lo, hi)]
+    ends = [sum((F.col(f"_size{j}") for j in range(i)), F.lit(0).cast("long")) for i in range(len(cuts) + 2)]
+    marks = sizes.withColumnRenamed("_n", "n").select(
+        *keys, *[end.alias(f"_end{i}") for i, end in enumerate(ends)], *[r.alias(f"_rank{j}") for j, r in enumerate(ranks)]
+    )
+
+    def start(i: int) -> Column:
+        inside = F.lit(False)
+        for j in range(len(ranks)):
+            inside = inside | ((F.col(f"_rank{j}") >= F.col(f"_end{i}")) & (F.col(f"_rank{j}") < F.col(f"_end{i + 1}")))
+        return F.when(inside, F.col(f"_end{i}"))
+
+    hit = marks.select(*keys, F.array(*[start(i) for i in stretches]).alias("_starts"))
     tight = (
         attach_checked(placed.drop("_cuts"), hit, keys, "inner")
         .withColumn("_base", F.get("_starts", F.col("_stretch")))

@@ -165,4 +165,6 @@ def detect_funnel(
         F.lit(0).alias("anomaly"),
     )
     result = scored.select(*RESULT).unionByName(shown)
+    if options.effective_alert_mode == "latest_only":
+        result = cut_lineage(result)  # read twice: for the newest alert and for the rows
     return shape_alerts(result, options.effective_alert_mode, alerted)
