@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricwatch.llm import quality
+from metricwatch.llm import quality, simhash
 from metricwatch.llm.common import table
 from metricwatch.session import prepare
 
@@ -55,3 +55,10 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = quality.judge(table(spark, folder, "documents", "doc_id", "text"))
     return judged.select("doc_id", "quality.measures.n_words", "quality.measures.word_chars", "quality.measures.n_symbols",
                          "quality.measures.n_dup_lines", "quality.measures.n_repeat_words", "quality.base_failed", "quality.kept")
+
+
+@query("op2_simhash")
+def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+                        F.col("component").alias("component_id"), "copies")
