@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricwatch.llm import quality, simhash
+from metricwatch.llm import decontam, pii, quality, simhash
 from metricwatch.llm.common import table
 from metricwatch.session import prepare
 
@@ -62,3 +62,21 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents", "doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
                         F.col("component").alias("component_id"), "copies")
+
+
+@query("op9_decontamination")
+def benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    return decontam.leaks(docs, table(spark, folder, "benchmark", "item_id", "text"))
+
+
+@query("op10_pii")
+def personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find(table(spark, folder, "documents", "doc_id", "text"))
+    every = F.concat("base", "hidden")
+    order = F.create_map(*[F.lit(x) for pair in zip(pii.KINDS, range(4)) for x in pair])
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    ranked = F.sort_array(F.transform(every, lambda s: F.struct(order[s["kind"]].alias("o"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    count = lambda kind: F.size(F.filter(every, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.KINDS],
+                        F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(ranked).alias("spans"))
