@@ -5,16 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import metricwatch
 from metricwatch.session import checkpoint_dir
 
-# Functions of this package travel to the executors with the plan, so workers need no copy of it.
-cloudpickle.register_pickle_by_value(metricwatch)
-
 SPACE = r"[\x20\x09-\x0D]"
 BROADCAST_IDS = 1_000_000  # ids of eight bytes: the most that a filter by id sends to every executor
 

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricwatch.llm.common import SPACE, let, words
+from metricwatch.llm.common import SPACE
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -41,63 +41,58 @@ RULES = (
     Rule("capitals", "capital_ratio", most=0.3),
     Rule("duplicate_lines", "dup_line_ratio", most=0.5),
 )
-BASE = (("n_words", "n_words"), ("repeat", "n_repeat_words"))
-
-
-def _repeated(tokens: Column) -> Column:
-    """Number of words in three-word windows that occur at least twice (windows compared by a 64-bit hash)."""
-
-    def covered(at: Column) -> Column:
-        gaps = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.least(b - a, F.lit(3)))
-        return F.when(F.size(at) == 0, F.lit(0)).otherwise(F.aggregate(gaps, F.lit(3), lambda total, gap: total + gap))
-
-    def of_hashes(h: Column) -> Column:
-        windows = F.transform(
-            F.sequence(F.lit(0), F.size(h) - 3),
-            lambda i: F.struct(F.xxhash64(h[i], h[i + 1], h[i + 2]).alias("k"), i.alias("p")),
-        )
-
-        def of_sorted(s: Column) -> Column:
-            again = F.filter(s, lambda x, j: (F.get(s, j - 1)["k"] == x["k"]) | (F.get(s, j + 1)["k"] == x["k"]))
-            return let(F.sort_array(F.transform(again, lambda x: x["p"])), covered)
-
-        return let(F.sort_array(windows), of_sorted)
-
-    few = F.size(tokens) < 4
-    return F.when(few, F.lit(0)).otherwise(let(F.transform(tokens, lambda w: F.xxhash64(w)), of_hashes)).cast("long")
-
-
-def measures(text: Column) -> Column:
-    """One struct with counts and ratios of a text."""
-    text = F.coalesce(text, F.lit(""))
-
-    def of(x: Column) -> Column:
-        body, tokens, lines = x["body"], x["tokens"], x["lines"]
-        n_words, in_words = F.size(tokens).cast("long"), F.length(x["solid"]).cast("long")
-        stop = F.size(F.filter(tokens, lambda w: F.lower(w).isin(STOP_WORDS)))
-        symbols = F.length(body) - F.length(F.translate(body, SYMBOLS, ""))
-        dup = F.size(lines) - F.size(F.array_distinct(lines))
-        capitals = F.length(x["solid"]) - F.length(F.regexp_replace(x["solid"], r"\p{Lu}", ""))
-        return F.struct(
-            n_words.alias("n_words"),
-            in_words.alias("word_chars"),
-            symbols.cast("long").alias("n_symbols"),
-            dup.cast("long").alias("n_dup_lines"),
-            _repeated(tokens).alias("n_repeat_words"),
-            F.try_divide(in_words, n_words).alias("mean_word_length"),
-            F.try_divide(symbols, n_words).alias("symbol_ratio"),
-            F.try_divide(stop, n_words).alias("stop_word_ratio"),
-            F.try_divide(capitals, in_words).alias("capital_ratio"),
-            F.try_divide(dup, F.size(lines)).alias("dup_line_ratio"),
-        )
-
-    parts = F.struct(
-        text.alias("body"),
-        words(text).alias("tokens"),
-        F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
-        F.regexp_replace(text, SPACE + "+", "").alias("solid"),
+
+def _covered(at: Column) -> Column:
+    """Number of words covered by three-word windows that start at the sorted places `at`."""
+    steps = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda a, b: F.least(b - a, F.lit(3)))
+    return F.when(F.size(at) == 0, F.lit(0)).otherwise(F.aggregate(steps, F.lit(3), lambda total, step: total + step))
+
+
+def with_measures(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """Add the struct `name` with counts and ratios of each text.
+
+    Repeated windows are found by sorting one long per window, its hash above its place: equal
+    windows become neighbours, and neighbours with equal hash bits are compared word by word.
+    The steps are separate projections so that nothing is computed per element of an array.
+    """
+    keep = [F.col(f"`{c}`") for c in docs.columns]
+    q = lambda c: F.col(f"__q_{c}")
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    bare = F.btrim(body, F.lit(" \t\n\x0b\f\r"))
+    tokens = F.when(F.length(bare) > 0, F.split(bare, SPACE + "+")).otherwise(F.array().cast("array<string>"))
+    lines = F.filter(F.split(body, "\n"), lambda line: F.length(F.btrim(line, F.lit(" \t\x0b\f\r"))) > 0)
+    step = docs.select(*keep, body.alias("__q_body"), tokens.alias("__q_tokens"), lines.alias("__q_lines"))
+    bits = F.ceil(F.log2(F.size(q("tokens")) + 2)).cast("int")  # as many as a place in this text needs
+    step = step.select(
+        "*", F.transform(q("tokens"), lambda w: F.xxhash64(w)).alias("__q_h"), F.array_join(q("tokens"), "").alias("__q_solid"),
+        (F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).alias("__q_place"),
     )
-    return let(parts, of)
+    step = step.select("*", F.bitwise_not(q("place")).alias("__q_hash"))
+    keys = F.transform(
+        F.sequence(F.lit(0), F.size(q("h")) - 3),
+        lambda i: F.xxhash64(q("h")[i], q("h")[i + 1], q("h")[i + 2]).bitwiseAND(q("hash")).bitwiseOR(i.cast("long")),
+    )
+    step = step.select("*", F.when(F.size(q("h")) > 3, F.sort_array(keys)).otherwise(F.array().cast("array<bigint>")).alias("__q_s"))
+
+    def equal(a: Column, b: Column) -> Column:
+        same = a.bitwiseAND(q("hash")) == b.bitwiseAND(q("hash"))
+        i, j = a.bitwiseAND(q("place")).cast("int"), b.bitwiseAND(q("place")).cast("int")
+        h = q("h")
+        return same & (h[i] == h[j]) & (h[i + 1] == h[j + 1]) & (h[i + 2] == h[j + 2])
+
+    again = F.filter(q("s"), lambda x, j: equal(x, F.get(q("s"), j + 1)) | equal(x, F.get(q("s"), j - 1)))
+    step = step.select("*", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(q("place")).cast("int"))).alias("__q_at"))
+    n_words, in_words = F.size(q("tokens")).cast("long"), F.length(q("solid")).cast("long")
+    symbols, dup = F.regexp_count(q("body"), F.lit(f"[{SYMBOLS}]")).cast("long"), F.size(q("lines")) - F.size(F.array_distinct(q("lines")))
+    stop = F.size(F.filter(q("tokens"), lambda w: F.lower(w).isin(STOP_WORDS)))
+    capitals = F.length(F.regexp_replace(q("solid"), r"\P{Lu}+", ""))
+    counts = {"n_words": n_words, "word_chars": in_words, "n_symbols": symbols, "n_dup_lines": dup.cast("long"),
+              "n_repeat_words": _covered(q("at")).cast("long"), "n_stop_words": stop, "n_capitals": capitals, "n_lines": F.size(q("lines"))}
+    step = step.select(*keep, *[c.alias(f"__q_{k}") for k, c in counts.items()])
+    ratios = {"mean_word_length": ("word_chars", "n_words"), "symbol_ratio": ("n_symbols", "n_words"), "stop_word_ratio": ("n_stop_words", "n_words"),
+              "capital_ratio": ("n_capitals", "word_chars"), "dup_line_ratio": ("n_dup_lines", "n_lines")}
+    return step.select(*[c for c, n in zip(keep, docs.columns) if n != name], F.struct(
+        *[q(k).alias(k) for k in counts], *[F.try_divide(q(a), q(b)).alias(k) for k, (a, b) in ratios.items()]).alias(name))
 
 
 def broken_rules(m: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -120,18 +115,19 @@ def judge(
 
     Any other column passes through unchanged; a column of the input called `quality` is replaced.
     """
-    m = measures(F.col(text))
-
-    def verdict(x: Column) -> Column:
-        failed = (x["n_words"] < least_words) | (x["n_repeat_words"] > most_repeated * x["n_words"])
-        broken = broken_rules(x, rules)
-        return F.struct(x.alias("measures"), failed.alias("base_failed"), broken.alias("broken"), (~failed & (F.size(broken) == 0)).alias("kept"))
-
-    return docs.withColumn("quality", let(m, verdict))
+    judged = with_measures(docs, text, "quality")
+    m = F.col("quality")
+    failed = (m["n_words"] < least_words) | (m["n_repeat_words"] > most_repeated * m["n_words"])
+    judged = judged.withColumn("quality", F.struct(m.alias("measures"), failed.alias("base_failed"), broken_rules(m, rules).alias("broken")))
+    return judged.withColumn("quality", F.col("quality").withField("kept", ~F.col("quality.base_failed") & (F.size("quality.broken") == 0)))
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with their columns as they were."""
-    verdict = "__quality"
-    judged = judge(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("__text")), text="__text", **options)
-    return judged.withColumnRenamed("quality", verdict).where(F.col(f"{verdict}.kept")).select("row.*")
+    """The documents that pass, with their columns as they were.
+
+    A plain filter would be pushed below the projections with all their expressions copied into it;
+    a row that fails becomes no row in a generator instead.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
+    kept = F.explode_outer(F.when(F.col("quality.kept"), F.array("row"))).alias("row")
+    return judge(packed, **options).select(kept).where("row IS NOT NULL").select("row.*")

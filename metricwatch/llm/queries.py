@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricwatch.llm import decontam, pii, quality, simhash
+from metricwatch.llm import decontam, pii, quality, simhash, spm
 from metricwatch.llm.common import table
 from metricwatch.session import prepare
 
@@ -80,3 +80,8 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
     count = lambda kind: F.size(F.filter(every, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(F.col("id").alias("doc_id"), *[count(k) for k in pii.KINDS],
                         F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(ranked).alias("spans"))
+
+
+@query("op1_sentencepiece")
+def token_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return spm.encode_checked(table(spark, folder, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
