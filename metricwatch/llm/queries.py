@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricwatch.llm import decontam, pii, quality, simhash, spm
+from metricwatch.llm import decontam, pii, quality, sharding, simhash, spm
 from metricwatch.llm.common import table
 from metricwatch.session import prepare
 
@@ -85,3 +85,11 @@ def personal_data(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_sentencepiece")
 def token_ids(spark: SparkSession, folder: str) -> DataFrame:
     return spm.encode_checked(table(spark, folder, "documents", "doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+@query("op3_sharding")
+def hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "source", "lang", "n_chars")
+    placed = sharding.assign(docs, 8)
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "cell")
