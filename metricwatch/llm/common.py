@@ -29,18 +29,24 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return spark.read.parquet(f"{folder}/{name}.parquet").select(*columns)
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new folder name below the shared checkpoint folder; what is there goes when the application ends."""
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place.getParent())
+    files.deleteOnExit(place)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet to the shared checkpoint folder and read them back.
 
-    Cuts the lineage (a lost executor costs no recomputation) and keeps columns prunable. The table
-    goes when the application ends.
+    Cuts the lineage (a lost executor costs no recomputation) and keeps columns prunable.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, how: str, id_column: str = "doc_id") -> DataFrame:

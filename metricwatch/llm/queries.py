@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricwatch.llm import decontam, pii, quality, sharding, simhash, spm
-from metricwatch.llm.common import table
+from metricwatch.llm import decontam, flat_tokens, perspectives, pii, quality, sharding, simhash, spm
+from metricwatch.llm.common import shared_path, table
 from metricwatch.session import prepare
 
 QUERIES = {}
@@ -93,3 +93,39 @@ def hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
     placed = sharding.assign(docs, 8)
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "cell")
+
+
+@query("op4_token_counts")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Flat token files written from the documents, scanned without an index; the order of the rows names the documents."""
+    docs, path = table(spark, folder, "documents", "doc_id", "text"), shared_path(spark)
+    flat_tokens.write_flat(docs, path)
+    counts = flat_tokens.count_tokens(spark, path).withColumn("task", F.regexp_extract("file", r"part-(\d+)-[^/]*$", 1).cast("int"))
+    # a task writes its rows in the order of the scan, and one file of them
+    task = F.spark_partition_id().alias("task")
+    order = docs.select("doc_id", task, F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("ordinal"))
+    joined = order.join(counts, ["task", "ordinal"], "full_outer")
+    matched = F.when(F.col("n_tokens").isNull() | ~F.col("closed"), F.raise_error("files and documents differ")).otherwise(F.col("n_tokens"))
+    return joined.select("doc_id", "task", "ordinal", "start", matched.cast("long").alias("n_tokens"))
+
+
+CHAT_SQL = """
+WITH r AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT DISTINCT conv_id, role AS speaker FROM r WHERE role <> 'system'),
+s AS (SELECT conv_id, speaker, coalesce(turn // 512, -1) AS place, turn, role, text, role = speaker AS own,
+  '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
+  text || '<|im_end|>' || chr(10) AS body FROM r JOIN p USING (conv_id)),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, place ORDER BY turn NULLS FIRST, role, text) AS stop FROM s),
+g AS (SELECT conv_id, speaker, place, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text,
+  coalesce(string_agg(CASE WHEN own THEN (stop - length(body)) || ':' || (stop - 1) END, ',' ORDER BY stop), '') AS masks FROM o GROUP BY ALL)
+SELECT conv_id, speaker, row_number() OVER w - 1 AS part, n_turns, sum(length(text)) OVER w - length(text) AS start, text, masks
+FROM g WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY place)
+"""
+
+
+@query("op7_chat_perspectives", CHAT_SQL)
+def chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    spans = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
+    return perspectives.rotate(turns).withColumn("masks", spans)
