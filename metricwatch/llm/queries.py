@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricwatch.llm import decontam, flat_tokens, perspectives, pii, quality, sharding, simhash, spm
+from metricwatch.llm import debruijn, decontam, flat_tokens, perspectives, pii, quality, sharding, simhash, spm
 from metricwatch.llm.common import shared_path, table
 from metricwatch.session import prepare
 
@@ -129,3 +129,9 @@ def chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
     spans = F.array_join(F.transform("masks", lambda m: F.concat_ws(":", m["start"], m["end"])), ",")
     return perspectives.rotate(turns).withColumn("masks", spans)
+
+
+@query("op6_substring_dedup")
+def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    left = debruijn.deduplicate(table(spark, folder, "documents", "doc_id", "text"))
+    return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
