@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricwatch.llm import debruijn, decontam, flat_tokens, perspectives, pii, quality, sharding, simhash, spm
+from metricwatch.llm import debruijn, decontam, flat_tokens, perspectives, pii, quality, sharding, simhash, spm, suffixes
 from metricwatch.llm.common import shared_path, table
 from metricwatch.session import prepare
 
@@ -135,3 +135,9 @@ def chat_perspectives(spark: SparkSession, folder: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     left = debruijn.deduplicate(table(spark, folder, "documents", "doc_id", "text"))
     return left.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@query("op8_suffix_array_dedup")
+def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    left = suffixes.deduplicate(table(spark, folder, "documents", "doc_id", "text"))
+    return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
