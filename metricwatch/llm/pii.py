@@ -71,6 +71,8 @@ STRANGE = re.compile("[" + re.escape("".join(map(chr, PLAIN))) + "]")
 # Digits as words.
 DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 DIGIT = "(?:" + "|".join(DIGITS) + ")"
+# Endings of host names that make words around a plain "at" and "dot" an address.
+ENDINGS = "com|org|net|edu|gov|info|biz|io|co|eu|uk|us|de|fr|es|it|nl|ch|at|be|pt|pl|ca|au|jp|cn|in|br|mx|ru"
 HIDDEN = "\u00ad\u200b\u200c\u200d\u2060\ufeff"  # written, but not seen
 # One pass finds every disguise; what it stands for is written by `_undo`.
 DISGUISE = re.compile(
@@ -78,7 +80,7 @@ DISGUISE = re.compile(
     rf"|(?P<digits>(?<![^\W_])(?:plus[\x20-]+)?{DIGIT}(?:[\x20,.-]+{DIGIT})+(?![^\W_]))"
     r"|(?P<at>[\x20]?(?:\(at\)|\[at\]|\{at\}|<at>)[\x20]?)"
     r"|(?P<dot>[\x20]?(?:\(dot\)|\[dot\]|\{dot\}|<dot>)[\x20]?)"
-    r"|(?P<spelled>(?<=[A-Za-z0-9])[\x20]at[\x20](?=[A-Za-z0-9-]+(?:[\x20]dot[\x20][A-Za-z0-9-]+)+)"
+    rf"|(?P<spelled>(?<=[A-Za-z0-9])[\x20]at[\x20](?=[A-Za-z0-9-]+(?:[\x20]dot[\x20][A-Za-z0-9-]+)*[\x20]dot[\x20](?:{ENDINGS})(?![A-Za-z0-9-]))"
     r"|(?<=[A-Za-z0-9-])[\x20]dot[\x20](?=[A-Za-z0-9]))",
     re.IGNORECASE,
 )
