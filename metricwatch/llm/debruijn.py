@@ -34,24 +34,24 @@ def _words(text: str | None) -> np.ndarray:
 
 
 def _edges(rows: DataFrame, paths: DataFrame, window: int) -> DataFrame:
-    """`(anchor, edge, rank, key, place)` of the edges of the paths `(key, anchor, start, n)`, read from the documents."""
-    per_doc = paths.groupBy("key").agg(F.collect_list(F.struct("anchor", "start", "n")).alias("paths"))  # bounded by the text
+    """`(anchor, digest, n, edge, rank, at)` of the edges of the paths `(key, anchor, digest, start, n)`, read from the documents."""
+    per_doc = paths.groupBy("key").agg(F.collect_list(F.struct("anchor", "digest", "start", "n")).alias("paths"))  # bounded by the text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, rank, text, wanted in zip(*(batch.column(i) for i in range(4))):
+            for rank, text, wanted in zip(*(batch.column(i) for i in range(3))):
                 units = _words(text.as_py())
                 edges = Prefix(units).grams(window)
                 flat = wanted.values
-                anchor, start, n = (flat.field(i).to_numpy() for i in range(3))
-                take = np.repeat(start - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                anchor, digest, start, n = (flat.field(i).to_numpy() for i in range(4))
+                at = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.repeat(anchor, n)), pa.array(edges[take].view(np.int64)), pa.array(np.full(len(take), rank.as_py(), np.int64)),
-                    pa.array(np.full(len(take), key.as_py(), np.int64)), pa.array(take.astype(np.int32)),
-                ], names=["anchor", "edge", "rank", "key", "place"])
+                    pa.array(np.repeat(anchor, n)), pa.array(np.repeat(digest, n)), pa.array(np.repeat(n, n)),
+                    pa.array(edges[np.repeat(start, n) + at].view(np.int64)), pa.array(np.full(len(at), rank.as_py(), np.int64)), pa.array(at.astype(np.int32)),
+                ], names=["anchor", "digest", "n", "edge", "rank", "at"])
 
-    return rows.join(per_doc, "key").select("key", "rank", "text", "paths").mapInArrow(
-        run, "anchor long, edge long, rank long, key long, place int")
+    return rows.join(per_doc, "key").select("rank", "text", "paths").mapInArrow(
+        run, "anchor long, digest long, n int, edge long, rank long, at int")
 
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -64,10 +64,12 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     later = shared.join(paths.select("anchor", "digest", "n", F.col("first.rank").alias("owner")), ["anchor", "digest", "n"]).where("owner < rank")
     # where different paths share an anchor, the owners' paths are taken apart
     branching = paths.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    owners = paths.join(branching, "anchor", "left_semi").select("anchor", "n", "first.key", "first.start")
+    owners = paths.join(branching, "anchor", "left_semi").select("anchor", "digest", "n", "first.key", "first.start")
     edges = stored(_edges(rows, owners, window))
     firsts = edges.groupBy("anchor", "edge").agg(F.min("rank").alias("owner"), F.max("rank").alias("latest")).where("owner < latest")
-    single = edges.join(firsts, ["anchor", "edge"]).where("owner < rank").select("key", F.col("place").alias("start"), F.lit(1).alias("n"))
+    old = edges.join(firsts, ["anchor", "edge"]).where("owner < rank").select("anchor", "digest", "n", "rank", "at")
+    # a path may come several times in its first document
+    single = shared.join(old, ["anchor", "digest", "n", "rank"]).select("key", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
     return later.select("key", "start", "n").union(single)
 
 
