@@ -1,6 +1,6 @@
 """Benchmark leaks by template windows: built-in expressions only.
 
-Texts become typed tokens: numbers, names (capitalised words inside a sentence) and units keep their
+Texts become typed tokens: numbers, names (capitalised words inside a sentence, not words in capitals) and units keep their
 value but stand for a placeholder in the template; all else is lower-cased words. Windows of eight
 template tokens are hashed and joined with those of the benchmark items. Windows that match on one
 diagonal (same distance between document and item) form a passage, whose slots must be consistent:
@@ -35,7 +35,7 @@ def typed(text: Column) -> Column:
     """The tokens of a text, names and numbers marked in front."""
     t = F.translate(F.coalesce(text, F.lit("")), NAME + NUMBER + INSIDE, "   ")
     t = F.regexp_replace(t, r"(?<=\p{Nd})[.,:/](?=\p{Nd})", INSIDE)
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{Nd},;)]\x20)(?=\p{Lu})", NAME)
+    t = F.regexp_replace(t, r"(?<=[\p{L}\p{Nd},;)]\x20)(?=\p{Lu}\p{Ll})", NAME)
     t = F.regexp_replace(t, rf"\p{{Nd}}[\p{{Nd}}{INSIDE}]*", f" {NUMBER}$0 ")
     t = F.regexp_replace(F.lower(t), rf"[^\p{{L}}\p{{M}}\p{{Nd}}{NAME}{NUMBER}{INSIDE}]+", " ")
     return F.filter(F.split(t, " "), lambda w: w != "")
