@@ -7,7 +7,7 @@ follows the window, not the text.
 
 Two kinds of model are read. A unigram model picks the way with the highest sum of scores. A merge
 (BPE) model has no additive score; there a piece may follow another only if merging their joint
-text by rank gives exactly these two pieces. Of all ways to a boundary at most one survives that
+text by rank leaves exactly these two pieces. Of all ways to a boundary at most one survives that
 rule, and it is the model's own segmentation. Characters outside the vocabulary become byte pieces
 (or the unknown id if the model has none).
 
@@ -18,15 +18,18 @@ such stretches are searched on their own and remembered in a bounded table.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE_MARK = "▁"
-REMEMBERED = 400_000  # word segmentations and piece pairs that a worker remembers at most
+REMEMBERED = 1_200_000  # words whose ids, and pairs of pieces whose fit, a worker remembers at most
+NEVER = 1 << 60  # the rank of what is no piece
 LOOK_EVERY = 64  # boundaries between two tests for convergence
 LONGEST_REMEMBERED = 64
 # Where public tokenizer files lie unless a path is given.
@@ -75,33 +78,67 @@ class Model:
                 self.unknown = i
             elif p.type == kinds.CONTROL:
                 self.control.add(i)
+        steps = {score: i for i, score in enumerate(sorted(set(self.score.values()), reverse=True))}
+        self.rank = {p: steps[score] for p, score in self.score.items()}
+        # every beginning of a piece: its score (never positive) if it is one, else None
+        self.begun: dict[str, float | None] = {p[:k]: None for p in self.score for k in range(1, len(p))}
+        self.begun |= {p: min(score, 0.0) for p, score in self.score.items()}
+        self.parts: dict[str, tuple[str, str] | None] = {}
+        self.unmade: set[str] = set()
         self.longest = max(map(len, self.ids), default=1)
         self.worst = min(self.score.values(), default=0.0) - 10.0  # of a character without a piece, as SentencePiece has it
         self.splits = not any(SPACE_MARK in p.lstrip(SPACE_MARK) for p in self.ids)
-        self.words: dict[str, list[int]] = {}
+        written = {i: bytes([b]) for i, b in self.bytes.items()} | {i: b"" for i in self.control} | {self.unknown: " ⁇ ".encode()}
+        self.spelled = [written.get(i, p.encode()) for i, p in enumerate(self.pieces)]
+        # two generations each: a full young one becomes the old one, and what is still asked for moves back
+        self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
 
-    def merged(self, text: str) -> list[str]:
-        """The pieces of a short text by repeated merging of the best neighbouring pair, leftmost first."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                score = self.score.get(parts[i] + parts[i + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, i
-            if best is None:
-                return parts
+    def last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two parts a piece was last merged from, None for a character; a piece that merging never gives is no candidate."""
+        if piece in self.parts:
+            return self.parts[piece]
+        parts, last = list(piece), None
+        while len(parts) > 1:
+            ranks = [self.rank.get(parts[i] + parts[i + 1], NEVER) for i in range(len(parts) - 1)]
+            best = min(ranks)
+            if best == NEVER:
+                self.unmade.add(piece)
+                break
+            at = ranks.index(best)
+            last = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        self.parts[piece] = last
+        return last
 
     def follows(self, before: str, piece: str) -> bool:
-        """Whether a merge model leaves `piece` beside `before` ("" is the start of the text)."""
+        """Whether merging by rank leaves `piece` beside `before` ("" is the start of the text).
+
+        Merges are undone from the latest on. If the neighbours at the border could have been merged
+        before the one undone, they would have been; of equal ranks the left one comes first.
+        """
         known = self.pairs.get((before, piece))
-        if known is None:
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            known = self.merged(before + piece) == ([before, piece] if before else [piece])
-            self.pairs[before, piece] = known
+        if known is not None:
+            return known
+        self.last_merge(piece)
+        known = piece not in self.unmade
+        if known and before:
+            left, right, limit, rank = before, piece, NEVER, self.rank
+            while True:
+                if rank.get(left + right, NEVER) < limit:
+                    known = False
+                    break
+                a, b = (rank.get(x, -1) if len(x) > 1 else -1 for x in (left, right))
+                if a > b:
+                    limit, left = a, self.last_merge(left)[1]
+                elif b >= 0:
+                    limit, right = b + 1, self.last_merge(right)[0]
+                else:
+                    break
+        if len(self.pairs) >= REMEMBERED:
+            self.pairs.clear()
+        self.pairs[before, piece] = known
         return known
 
     def written(self, piece: str) -> list[int]:
@@ -112,84 +149,86 @@ class Model:
 
     def search(self, text: str) -> Iterator[str]:
         """The pieces of a text, committed as soon as no later character can change them."""
-        n, longest, score, merges = len(text), self.longest, self.score, self.merges
-        # of each boundary in the window: where its last piece begins, the piece, the best sum
-        back: dict[int, tuple[int, str, float]] = {0: (0, "", 0.0)}
-        base = 0  # everything before is committed
-        for i in range(1, n + 1):
-            best = None
-            for j in range(max(base, i - longest), i):
-                if (before := back.get(j)) is None:
-                    continue
-                piece = text[j:i]
-                gain = score.get(piece)
-                if gain is None:
-                    if i - j > 1:
+        n, longest, begun, merges, pairs = len(text), self.longest, self.begun, self.merges, self.pairs
+        # of each boundary from `base` on: where its last piece begins, the piece, the best sum
+        base, room = 0, min(n, longest) + 1
+        begin, last, total = [0] + [-1] * room, [""] + [None] * room, [0.0] * (room + 1)
+        for j in range(n):
+            before = last[j - base]
+            if before is not None:
+                for k in range(j + 1, min(n, j + longest) + 1):
+                    piece = text[j:k]
+                    gain = begun.get(piece, 1.0)
+                    if gain is None:
                         continue
-                    gain = self.worst
-                if merges:
-                    if self.follows(before[1], piece):
-                        best = (j, piece, 0.0)
-                        break
-                elif best is None or before[2] + gain > best[2]:
-                    best = (j, piece, before[2] + gain)
-            if best is not None:
-                back[i] = best
+                    if gain == 1.0:  # no piece begins like this
+                        if k > j + 1:
+                            break
+                        gain = self.worst
+                    if not merges:
+                        gain += total[j - base]
+                        if last[k - base] is None or gain > total[k - base]:
+                            begin[k - base], last[k - base], total[k - base] = j, piece, gain
+                    elif last[k - base] is None:
+                        fits = pairs.get((before, piece))
+                        if self.follows(before, piece) if fits is None else fits:
+                            begin[k - base], last[k - base] = j, piece
+            begin.append(-1)
+            last.append(None)
+            total.append(0.0)
+            i = j + 1
             if i % LOOK_EVERY == 0 or i == n:
-                ends = {n} if i == n else {k for k in range(max(base, i - longest + 1), i + 1) if k in back}
-                meet = set(ends)  # follow the chains down from the largest boundary until one is left
+                # follow the chains of all live boundaries down from the largest until one is left
+                meet = {n} if i == n else {k for k in range(max(base, i - longest + 1), i + 1) if last[k - base] is not None}
                 while len(meet) > 1:
                     top = max(meet)
                     meet.remove(top)
-                    meet.add(back[top][0] if top > base else base)
-                stop = meet.pop()
+                    meet.add(begin[top - base] if top > base else base)
+                stop = k = meet.pop()
                 chain = []
-                k = stop
                 while k > base:
-                    chain.append(back[k][1])
-                    k = back[k][0]
-                yield from reversed(chain)
-                if stop > base:
-                    back = {k: v for k, v in back.items() if k >= stop}
-                    base = stop
+                    chain.append(last[k - base])
+                    k = begin[k - base]
+                chain.reverse()
+                yield from chain
+                if i < n and stop > base:
+                    drop = stop - base
+                    begin, last, total, base = begin[drop:], last[drop:], total[drop:], stop
                     if not merges:  # sums start anew, so they stay exact on endless texts
-                        zero = back[base][2]
-                        back = {k: (a, p, s - zero) for k, (a, p, s) in back.items()}
+                        total = [t - total[0] for t in total]
+
+    def _ids(self, part: str) -> bytes:
+        """The ids of a stretch that no piece leaves, as little-endian 32-bit integers; short ones are remembered."""
+        known = self.words.get(part)  # it may have come since
+        if known is not None:
+            return known
+        known = self.old_words.get(part)
+        if known is None:
+            known = array("i", [i for piece in self.search(part) for i in self.written(piece)]).tobytes()
+        if len(part) <= LONGEST_REMEMBERED:
+            if len(self.words) >= REMEMBERED // 2:
+                self.old_words, self.words = self.words, {}
+            self.words[part] = known
+        return known
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
+        return self.encoded(text).tolist()
+
+    def encoded(self, text: str) -> np.ndarray:
+        """The ids of a text as an array."""
         if not text:
-            return []
+            return np.zeros(0, np.int32)
         marked = (SPACE_MARK if self.prefix else "") + text.replace(" ", SPACE_MARK)
-        if not self.splits:
-            return [i for piece in self.search(marked) for i in self.written(piece)]
-        ids: list[int] = []
-        words = self.words
-        for part in WORD.findall(marked):
-            known = words.get(part)
-            if known is None:
-                known = [i for piece in self.search(part) for i in self.written(piece)]
-                if len(part) <= LONGEST_REMEMBERED:
-                    if len(words) >= REMEMBERED:
-                        words.clear()
-                    words[part] = known
-            ids += known
-        return ids
-
-    def decode(self, ids: list[int]) -> str:
+        parts = WORD.findall(marked) if self.splits else [marked]
+        known = list(map(self.words.get, parts))
+        if None in known:
+            known = [self._ids(part) if ids is None else ids for part, ids in zip(parts, known)]
+        return np.frombuffer(b"".join(known), np.int32)
+
+    def decode(self, ids: Iterable[int]) -> str:
         """The text of ids: byte pieces are gathered into characters, control ids write nothing."""
-        out, pending = [], bytearray()
-        for i in ids:
-            if i in self.bytes:
-                pending.append(self.bytes[i])
-                continue
-            if pending:
-                out.append(pending.decode(errors="replace"))
-                pending = bytearray()
-            if i not in self.control:
-                out.append(" ⁇ " if i == self.unknown else self.pieces[i])
-        out.append(pending.decode(errors="replace"))
-        text = "".join(out).replace(SPACE_MARK, " ")
+        text = b"".join(map(self.spelled.__getitem__, ids)).decode(errors="replace").replace(SPACE_MARK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -206,6 +245,11 @@ def _content(path: str | None) -> bytes:
         return file.read()
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays])))
+
+
 def encode(docs: DataFrame, model_path: str | None = None, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """`(id, ids)` of each row; null and empty texts have no ids. The model file is read on the driver and sent along."""
     content = docs.sparkSession.sparkContext.broadcast(_content(model_path))
@@ -214,7 +258,7 @@ def encode(docs: DataFrame, model_path: str | None = None, id_column: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _model(content.value)
         for batch in batches:
-            ids = pa.array((model.encode(t.as_py() or "") for t in batch.column(1)), pa.list_(pa.int32()))
+            ids = _lists([model.encoded(t.as_py() or "") for t in batch.column(1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["id", "ids"])
 
     return docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, ids array<int>")
@@ -246,10 +290,10 @@ def encode_checked(docs: DataFrame, model_path: str | None = None, id_column: st
         model = _model(content.value)
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
-            ids = [model.encode(t) for t in texts]
+            ids = [model.encoded(t) for t in texts]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(len, ids), pa.int32()),
-                pa.array([model.decode(i) == t for i, t in zip(ids, texts)], pa.bool_()),
+                batch.column(0), _lists(ids), pa.array(map(len, ids), pa.int32()),
+                pa.array([model.decode(i.tolist()) == t for i, t in zip(ids, texts)], pa.bool_()),
             ], names=["id", "ids", "n_ids", "returns"])
 
     return docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, ids array<int>, n_ids int, returns boolean")
