@@ -17,13 +17,18 @@ MIN_SEGMENT = 5
 
 
 def prepare_segments(indexed: DataFrame, value: str = "value") -> DataFrame:
-    """Rows with the sum before them, their segment (all in one) and the series' penalty."""
+    """Rows with the sum before them, their segment (all in one) and the series' penalty.
+
+    Values are taken from the series' mean first: gains are differences of squared sums, which a high
+    level would drown. A missing value counts as the mean.
+    """
     stats = indexed.groupBy("series_id").agg(
-        F.count(value).alias("_n"), F.var_pop(value).alias("_var")
-    ).select("series_id", (F.lit(2.0) * F.col("_var") * F.ln("_n")).alias("penalty"))
-    summed = running_sum(indexed.select("series_id", "ts", "rn", F.col(value).alias("v")), {"_sum": "v"})
-    rows = summed.withColumn("before", F.col("_sum") - F.col("v")).drop("_sum")
-    return attach(rows, stats).withColumn("segment", F.lit("1"))
+        F.count(value).alias("_n"), F.var_pop(value).alias("_var"), F.avg(value).alias("_mean")
+    ).select("series_id", (F.lit(2.0) * F.col("_var") * F.ln("_n")).alias("penalty"), "_mean")
+    level = F.coalesce(F.col(value) - F.col("_mean"), F.lit(0.0))
+    centred = attach(indexed, stats).select("series_id", "ts", "rn", level.alias("v"), "penalty")
+    summed = running_sum(centred, {"_sum": "v"})
+    return summed.withColumn("before", F.col("_sum") - F.col("v")).drop("_sum").withColumn("segment", F.lit("1"))
 
 
 def best_splits(rows: DataFrame, min_segment: int = MIN_SEGMENT) -> DataFrame:

@@ -61,9 +61,12 @@ def lag_products(
 
 
 def centred(indexed: DataFrame, value: str = "value") -> DataFrame:
-    """Add `x` (value minus the series' mean) and `n`."""
+    """Add `x` (value minus the series' mean, 0 for a missing one) and `n`, the number of values.
+
+    A missing value counts as the mean, so it adds nothing to any lagged sum.
+    """
     stats = indexed.groupBy("series_id").agg(F.avg(value).alias("_mean"), F.count(value).alias("n"))
-    return attach(indexed.drop("n"), stats).withColumn("x", F.col(value) - F.col("_mean")).drop("_mean")
+    return attach(indexed.drop("n"), stats).withColumn("x", F.coalesce(F.col(value) - F.col("_mean"), F.lit(0.0))).drop("_mean")
 
 
 def autocorrelation(

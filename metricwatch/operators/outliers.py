@@ -14,6 +14,8 @@ from metricwatch.operators.prepare import missing_gate
 from metricwatch.operators.quantiles import exact_quantiles, floored_scale
 from metricwatch.session import cut_lineage
 
+ZERO_RATE = 0.3  # a series with a larger share of zeros and missing values gets no flags
+
 # Fixed values of the detector.
 MAD_K, IQR_K = 3.0, 1.5
 EVT_TAIL, EVT_TOP, EVT_MIN_ROWS = 0.1, 10, 20
@@ -91,11 +93,12 @@ def robust_flags(points: DataFrame, value: str = "value") -> DataFrame:
 
 
 def gated(points: DataFrame, flags: DataFrame) -> DataFrame:
-    """No flags for constant series and series with too many zeros."""
-    gates = missing_gate(points).select("series_id", "gate")
-    return attach_checked(flags, gates).withColumn(
-        "anomaly", F.when(F.col("gate").isin("zeros", "constant"), F.lit(0)).otherwise(F.col("anomaly"))
-    )
+    """No flags for constant series and series with too many zeros; a missing value counts as zero.
+
+    The gate's name is no help here: it says "missing" for a series that has too many zeros as well.
+    """
+    gates = missing_gate(points).select("series_id", ((F.col("zero_rate") > ZERO_RATE) | F.coalesce("constant", F.lit(False))).alias("_closed"))
+    return attach_checked(flags, gates).withColumn("anomaly", F.when(F.col("_closed"), F.lit(0)).otherwise(F.col("anomaly"))).drop("_closed")
 
 
 def linear_pick(ordered: Column, n: Column, p: float) -> Column:

@@ -93,8 +93,8 @@ def bucket_stats(samples: DataFrame, k: float, min_samples: int, keys: Sequence[
         if c[keep].sum() >= 3:
             med, scale = center_scale(v[keep], c[keep])
         mean = float((v * c).sum() / n)
-        var = float((v * v * c).sum() / n - mean * mean)
-        out["median"], out["scale"], out["mean"], out["std"] = med, scale, mean, max(var, 0.0) ** 0.5
+        var = float(((v - mean) ** 2 * c).sum() / n)
+        out["median"], out["scale"], out["mean"], out["std"] = med, scale, mean, var ** 0.5
         return out
 
     counts = value_counts(samples, keys)

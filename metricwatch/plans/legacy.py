@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from metricwatch.functions import season
 from metricwatch.operators.joins import attach
 from metricwatch.options import LOOKBACK_DAYS, LegacyBaselineOptions
-from metricwatch.plans.dynamics import flag_outside, lookback, mean_std, moments
+from metricwatch.plans.dynamics import flag_outside, lookback, moments
 
 
 def _season(trend: str):
@@ -31,7 +31,7 @@ def detect_legacy_baseline(
     hour = F.floor(season.second_of_day(F.col("ts")) / 3_600).cast("int")
     key = _season(options.trend)
     past = lookback(history, current, LOOKBACK_DAYS[options.trend]).where(F.col("value").isNotNull())
-    buckets = mean_std(past.groupBy("series_id", key.alias("season"), hour.alias("hour")).agg(*moments(F.col("value"))))
+    buckets = past.groupBy("series_id", key.alias("season"), hour.alias("hour")).agg(*moments(F.col("value")))
     day = season.day_number(F.col("ts")) if options.trend == "daily" else F.lit(0)
     now = current.groupBy(
         "series_id", key.alias("season"), hour.alias("hour"),
