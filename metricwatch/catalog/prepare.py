@@ -161,7 +161,7 @@ def resample_to_budget(spark, folder):
 @query(
     "points_needed",
     with_ctes("raw", ("s", "SELECT series_id, max(ts) - min(ts) AS span FROM raw GROUP BY 1"))
-    + "SELECT series_id, step, CAST(least(greatest(ceil(span / CAST(step AS DOUBLE)), 1), 50000) AS BIGINT) AS needed "
+    + "SELECT series_id, step, CAST(greatest(ceil(span / CAST(step AS DOUBLE)), 1) AS BIGINT) AS needed "
     "FROM s, (SELECT unnest([5, 60, 3600]) AS step)",
 )
 def points_needed(spark, folder):

@@ -22,7 +22,6 @@ from metricwatch.operators.ordered import BLOCK_ROWS
 from metricwatch.options import OutlierOptions
 
 SAMPLE_SHARE = 0.1
-SAMPLE_ROWS = 1 << 12  # at most this many rows train a tree, so a forest stays small beside a block
 EULER = 0.5772156649015329
 NODE_SCHEMA = (
     "series_id string, tree int, node int, left int, right int, size long, depth int, "
@@ -46,7 +45,9 @@ def tree_samples(rows: DataFrame, options: OutlierOptions) -> DataFrame:
     """
     sizes = rows.groupBy("series_id").agg(F.count(F.lit(1)).alias("_n"))
     size = F.lit(options.sample_size) if options.sample_size else F.floor(F.col("_n") * SAMPLE_SHARE)
-    size = F.greatest(F.least(size, F.col("_n"), F.lit(SAMPLE_ROWS)), F.lit(1))
+    if options.max_sample_rows:
+        size = F.least(size, F.lit(options.max_sample_rows))
+    size = F.greatest(F.least(size, F.col("_n")), F.lit(1))
     dealt = sizes.withColumn("_groups", F.greatest(F.floor(F.col("_n") / size), F.lit(1))).withColumn(
         "_deals", F.ceil(F.lit(options.n_trees) / F.col("_groups"))
     )

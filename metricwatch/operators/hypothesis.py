@@ -22,7 +22,6 @@ KPSS_TABLE = (
     (0.05, 0.99), (0.1, 0.9), (0.2, 0.7), (0.3, 0.2), (0.347, 0.1), (0.4, 0.07), (0.463, 0.05),
     (0.574, 0.025), (0.739, 0.01), (1.0, 0.003), (1.5, 0.0005), (2.0, 0.0001),
 )
-MIN_ROWS = 4
 KPSS_LAGS = 1_024  # the bandwidth rule reaches this at 6e12 rows
 
 

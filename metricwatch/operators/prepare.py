@@ -10,7 +10,6 @@ from metricwatch.operators.ordered import known_neighbours, row_index
 
 COLD_START_ROWS = 20
 COLD_START_SHARE = 0.7
-MAX_POINTS = 50_000
 DEFAULT_POINT_BUDGET = 1_500
 DEFAULT_HISTORY_SECS = 7 * 86_400
 
@@ -80,9 +79,9 @@ def step_for(panel_step: int, span: int, max_points: int = DEFAULT_POINT_BUDGET,
 
 
 def points_needed(span: Column, step: Column, panel_points: int = 1) -> Column:
-    """Points that cover `span` at `step`, at most MAX_POINTS."""
+    """Points that cover `span` at `step`."""
     needed = F.ceil(F.greatest(span, F.lit(0)) / step)
-    return F.least(F.greatest(needed, F.lit(panel_points), F.lit(1)), F.lit(MAX_POINTS))
+    return F.greatest(needed, F.lit(panel_points), F.lit(1))
 
 
 def resample(points: DataFrame, step: int, how: str = "avg") -> DataFrame:

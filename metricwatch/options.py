@@ -106,7 +106,8 @@ class OutlierOptions:
     periods: tuple[int, ...] = ()
     detect_mode: str = "lite"
     n_trees: int = 100
-    sample_size: int | None = None
+    sample_size: int | None = None  # rows that train a tree; a tenth of the series unless given
+    max_sample_rows: int | None = None  # a bound on either, for series too long for a tenth in one task
     max_tree_depth: int | None = None
     extension_level: int | None = None
     seed: int = 42
@@ -115,6 +116,7 @@ class OutlierOptions:
         _require(self.detect_mode in ("lite", "full"), "detect_mode must be lite or full")
         _require(self.n_trees > 0, "n_trees must be > 0")
         _require(self.sample_size is None or self.sample_size > 0, "sample_size must be > 0")
+        _require(self.max_sample_rows is None or self.max_sample_rows > 0, "max_sample_rows must be > 0")
 
 
 @dataclass(frozen=True)
