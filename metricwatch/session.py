@@ -79,7 +79,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="metricwatch-checkpoint-")
     context.setCheckpointDir(folder)
-    return context._jsc.sc().getCheckpointDir().get()
+    own = context._jsc.sc().getCheckpointDir().get()  # a new folder below the named one
+    delete_at_end(spark, own)
+    return own
+
+
+def delete_at_end(spark: SparkSession, folder: str) -> None:
+    """Have a folder, made if need be, deleted when the application ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(place)
+    files.deleteOnExit(place)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
