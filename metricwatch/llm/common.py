@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricwatch.session import checkpoint_dir
+from metricwatch.session import checkpoint_dir, delete_at_end
 
 SPACE = r"[\x20\x09-\x0D]"
 BROADCAST_IDS = 1_000_000  # ids of eight bytes: the most that a filter by id sends to every executor
@@ -31,12 +31,9 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 def shared_path(spark: SparkSession) -> str:
     """A new folder name below the shared checkpoint folder; what is there goes when the application ends."""
-    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.mkdirs(place.getParent())
-    files.deleteOnExit(place)
-    return path
+    base = f"{checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    delete_at_end(spark, base)
+    return f"{base}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:

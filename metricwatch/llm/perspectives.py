@@ -3,7 +3,7 @@
 For every participant of a conversation the dialogue is rendered with that speaker as assistant, the
 others as named users, and spans that mark what the speaker says. A dialogue comes in parts that
 each hold a stretch of turn numbers, so no conversation is gathered whole; one of up to PART_TURNS
-turns is one part. Offsets count characters from the start of the part; `start` is where the part
+turns is one part (rows that share a turn number share its part). Offsets count characters from the start of the part; `start` is where the part
 begins in the whole dialogue.
 """
 
