@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from metricwatch.catalog.dynamics import T0
@@ -13,7 +15,7 @@ from metricwatch.functions.numeric import q_sql
 from metricwatch.operators.robust_buckets import bucket_stats
 from metricwatch.options import FunnelOptions
 from metricwatch.plans import funnel, profile
-from metricwatch.sources.points import read_events
+from metricwatch.sources.points import canonical, read_events
 
 DAY = 86_400
 HIST = ("h", f"SELECT * FROM pts WHERE ts < {T0}")
@@ -21,12 +23,16 @@ CUR = ("c", f"SELECT * FROM pts WHERE ts >= {T0}")
 DAILY = FunnelOptions(trend="daily", bucket_slot_secs=3_600)
 
 
+# T0 as a literal of the stored column, so that the time bound reaches the scan.
+BOUNDARY = datetime.fromtimestamp(T0, UTC).strftime("%Y-%m-%d %H:%M:%S")
+
+
 def history(spark, folder):
-    return pts(spark, folder).where(F.col("ts") < T0)
+    return canonical(read_events(spark, folder, end=BOUNDARY))
 
 
 def current(spark, folder):
-    return pts(spark, folder).where(F.col("ts") >= T0)
+    return canonical(read_events(spark, folder, start=BOUNDARY))
 
 
 @query(
