@@ -106,7 +106,12 @@ def keyed(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
 
 
 def run_table(rows: DataFrame, units: Callable[[str | None], np.ndarray], window: int, gram: int) -> DataFrame:
-    """`(key, rank, anchor, start, n, digest)` of every run of `(key, rank, text)`; rank is a long carried along."""
+    """`(key, rank, anchor, span, digest)` of every run of `(key, rank, text)`; rank is a long carried along.
+
+    `span` holds the first window and the number of windows, see `opened`; it is packed to shuffle less.
+    """
+    if window >= 1 << 16:
+        raise ValueError("windows are below 65,536 units")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +123,12 @@ def run_table(rows: DataFrame, units: Callable[[str | None], np.ndarray], window
                 part, (anchor, start, n, digest) = take[i : i + 100_000], (x[i : i + 100_000] for x in joined)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).take(pa.array(part)), batch.column(1).take(pa.array(part)), pa.array(anchor.view(np.int64)),
-                    pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(digest.view(np.int64)),
-                ], names=["key", "rank", "anchor", "start", "n", "digest"])
+                    pa.array(start.astype(np.int64) << 16 | n.astype(np.int64)), pa.array(digest.view(np.int64)),
+                ], names=["key", "rank", "anchor", "span", "digest"])
+
+    return rows.select("key", "rank", "text").mapInArrow(run, "key long, rank long, anchor long, span long, digest long")
+
 
-    return rows.select("key", "rank", "text").mapInArrow(run, "key long, rank long, anchor long, start int, n int, digest long")
+def opened(runs: DataFrame) -> DataFrame:
+    """The rows with `span` taken apart into `start` and `n`."""
+    return runs.withColumns({"start": F.shiftright("span", 16).cast("int"), "n": F.col("span").bitwiseAND(0xFFFF).cast("int")}).drop("span")

@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricwatch.llm.anchors import Prefix, keyed, run_table, word_units
+from metricwatch.llm.anchors import Prefix, keyed, opened, run_table, word_units
 from metricwatch.llm.common import stored
 
 WINDOW = 13
-GRAM = 5
+GRAM = 4
 LAST = (1 << 63) - 1
 
 
@@ -58,7 +58,8 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     """`(key, start, n)`: windows of `(key, rank, text)` that also start in a row of smaller rank."""
     found = run_table(rows, _words, window, gram)
     shared = found.groupBy("anchor").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b").select("anchor")
-    shared = stored(found.join(shared, "anchor", "left_semi"))
+    # stored first, so that both sides of the join are plain shuffles, which Spark splits where an anchor is frequent
+    shared = opened(stored(found.join(stored(shared), "anchor", "left_semi")))
     # equal paths are one; its first document owns it
     paths = stored(shared.groupBy("anchor", "digest", "n").agg(F.min(F.struct("rank", "key", "start")).alias("first")))
     later = shared.join(paths.select("anchor", "digest", "n", F.col("first.rank").alias("owner")), ["anchor", "digest", "n"]).where("owner < rank")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricwatch.llm.anchors import BYTE_VALUES, Prefix, byte_units, keyed, run_table
+from metricwatch.llm.anchors import BYTE_VALUES, Prefix, byte_units, keyed, opened, run_table
 from metricwatch.llm.common import stored
 
 WINDOW = 200
@@ -257,7 +257,8 @@ def repeated_windows(
     """`(key, start, n)`: windows of the UTF-8 bytes of `(key, text)` that start anywhere else too."""
     found = run_table(rows.withColumn("rank", F.lit(0).cast("long")), byte_units, window, gram).drop("rank")
     often = found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    shared = stored(found.join(often, "anchor", "left_semi"))
+    # stored first, so that both sides of the join are plain shuffles, which Spark splits where an anchor is frequent
+    shared = opened(stored(found.join(stored(often), "anchor", "left_semi")))
     kinds = stored(shared.groupBy("anchor", "digest", "n").agg(F.min(F.struct("key", "start")).alias("first"), F.count("*").alias("copies")))
     copied = kinds.where("copies > 1").select("anchor", "digest", "n")
     copied = shared.join(copied, ["anchor", "digest", "n"], "left_semi").select("key", "start", "n")
