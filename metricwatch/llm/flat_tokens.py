@@ -39,8 +39,9 @@ def write_flat(docs: DataFrame, path: str, model_path: str | None = None, eod: i
         if model.vocab_size() > 1 << 16:
             raise ValueError("the vocabulary does not fit 16 bits")
         for batch in batches:
-            ids = model.encode([t.as_py() or "" for t in batch.column(0)], num_threads=1)
-            yield pa.RecordBatch.from_arrays([pa.array([np.array(i, "<u2").tobytes() for i in ids], pa.binary())], names=["ids"])
+            # text by text: the library's lists of ids take many times the room of the bytes
+            ids = [np.array(model.encode(t.as_py() or ""), "<u2").tobytes() for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary())], names=["ids"])
 
     rows = docs.select(text).mapInArrow(run, "ids binary").select(F.col("ids").cast("string").alias("value"))
     rows.write.option("lineSep", eod.to_bytes(2, "little").decode("ascii")).text(path)
