@@ -5,7 +5,8 @@ value but stand for a placeholder in the template; all else is lower-cased words
 template tokens are hashed and joined with those of the benchmark items. Windows that match on one
 diagonal (same distance between document and item) form a passage, whose slots must be consistent:
 one value of the item always stands for one value of the document. So a question with other numbers
-or names is caught, and text that merely has the same frame around mixed slots is not.
+or names is caught, and text that merely has the same frame around mixed slots is not. Windows with
+few words besides slots say little as templates; they match by their values instead, word for word.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from metricwatch.llm.common import by_ids, stored
 
 WINDOW = 8
-LITERALS = 4  # words of a full window that must not be placeholders
+LITERALS = 4  # words of a full window that must not be placeholders; with fewer it matches by its values
 BROADCAST_WINDOWS = 500_000  # item windows sent to every executor: some 100 bytes each
 # Words for units; one stands for a unit where a number precedes it.
 UNITS = (
@@ -48,17 +49,24 @@ def _windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
     rows = rows.withColumn("__m", F.transform("__m", lambda w, i: (
         F.when((F.get("__m", i - 1) == NUMBER) & w.isin(UNITS), F.lit("u")).otherwise(w))))
     rows = rows.withColumn("__h", F.transform("__m", lambda w: F.xxhash64(w)))
-    # literal words before each place: a window's count is a difference of two
+    rows = rows.withColumn("__x", F.transform("__t", lambda w: F.xxhash64(F.translate(w, NAME, ""))))
     rows = rows.withColumn("__l", F.transform("__m", lambda w: F.when(w.isin(NAME, NUMBER), 0).otherwise(1)))
 
+    for n in sizes:  # literal words of each window
+        rows = rows.withColumn(f"__c{n}", F.when(F.size("__l") >= n, F.transform(
+            F.sequence(F.lit(0), F.size("__l") - n), lambda i: reduce(lambda a, b: a + b, [F.col("__l")[i + k] for k in range(n)]))).otherwise(F.array().cast("array<int>")))
+
     def of_size(n: int) -> Column:
-        at = F.sequence(F.lit(0), F.size("__h") - n)
-        literal = lambda i: reduce(lambda a, b: a + b, [F.col("__l")[i + k] for k in range(n)])
-        dense = F.filter(at, lambda i: literal(i) >= min(LITERALS, n))
-        made = F.transform(dense, lambda i: F.struct(
-            F.xxhash64(F.lit(n), *[F.col("__h")[i + k] for k in range(n)]).alias("h"), i.alias("at"), F.lit(n).alias("n"),
-            F.when(literal(i) < n, F.slice("__t", i + 1, n)).alias("tokens")))
-        return F.when(F.size("__h") >= n, made).otherwise(F.array().cast("array<struct<h:bigint,at:int,n:int,tokens:array<string>>>"))
+        literal, floor = F.col(f"__c{n}"), min(LITERALS, n)
+
+        def made(wanted: Column, mark: int, hashes: str) -> Column:
+            at = F.filter(F.transform(literal, lambda c, i: F.when(wanted(c), i)), lambda i: i.isNotNull())
+            return F.transform(at, lambda i: F.struct(
+                F.xxhash64(F.lit(mark), *[F.col(hashes)[i + k] for k in range(n)]).alias("h"), i.alias("at"), F.lit(n).alias("n"),
+                F.when(literal[i] < n, F.slice("__t", i + 1, n)).alias("tokens")))
+
+        # at the floor both ways: a name at the start of an item is a word there and may be none in a document
+        return F.concat(made(lambda c: c >= floor, n, "__h"), made(lambda c: c <= floor, -n, "__x"))
 
     return rows.withColumn("__w", F.concat(*[of_size(n) for n in sizes]) if len(sizes) > 1 else of_size(sizes[0]))
 

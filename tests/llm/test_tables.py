@@ -43,6 +43,15 @@ def test_slots_must_be_consistent(spark):
     assert leaked(spark, [(1, same, ""), (2, mixed, "")], [(5, item, "")]) == [(1, 5)]
 
 
+@pytest.mark.parametrize("item", [
+    "What is 12 + 45 - 7", "Solve 3 plus 4", "Alice Bob Carol Dave Erin Frank Grace Heidi Ivan Judy", "12 7 9 33 41 5 8 2 90 17 4 66", "By 1999 Rome had 12 of 40", "one two three",
+])
+def test_items_of_slots_match_word_for_word(spark, item):
+    other = item.replace("12", "13").replace("3 plus", "5 plus").replace("Dave", "Zoe").replace("two", "six")
+    rows = [(1, f"{FILLER}. {item}. {FILLER}", ""), (2, f"{FILLER} {item} {FILLER}", ""), (3, f"{FILLER} {other[: len(other) // 2]} {FILLER}", ""), (4, item, "")]
+    assert leaked(spark, rows, [(5, item, "")]) == [(1, 5), (2, 5), (4, 5)]
+
+
 def test_short_items_repeated_rows_and_empty_tables(spark):
     item = "seven plain words make one short item"
     rows = [(1, f"{FILLER} {item} {FILLER}", ""), (1, f"{FILLER} {item} {FILLER}", ""), (2, "short item seven plain words make one", "")]
