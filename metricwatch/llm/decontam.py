@@ -4,7 +4,7 @@ Texts become typed tokens: numbers, names (capitalised words inside a sentence,
 value but stand for a placeholder in the template; all else is lower-cased words. Windows of eight
 template tokens are hashed and joined with those of the benchmark items. Windows that match on one
 diagonal (same distance between document and item) form a passage, whose slots must be consistent:
-one value of the item always stands for one value of the document. So a question with other numbers
+one value of the item always stands for one value of the document; places where it does not are left out. So a question with other numbers
 or names is caught, and text that merely has the same frame around mixed slots is not. Windows with
 few words besides slots say little as templates; they match by their values instead, word for word.
 """
@@ -20,6 +20,7 @@ from metricwatch.llm.common import by_ids, stored
 
 WINDOW = 8
 LITERALS = 4  # words of a full window that must not be placeholders; with fewer it matches by its values
+MOSTLY = "2 * odd <= held AND 10 * odd <= all"  # inconsistent places that leave a passage as it is, but for themselves
 BROADCAST_WINDOWS = 500_000  # item windows sent to every executor: some 100 bytes each
 # Words for units; one stands for a unit where a number precedes it.
 UNITS = (
@@ -72,12 +73,15 @@ def _windows(rows: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """`(doc_id, item_id, shift, tokens, item_tokens, slots, mixed_slots)`: matched diagonals.
+    """`(doc_id, row, item_id, shift, tokens, item_tokens, slots, mixed_slots)`: matched diagonals.
 
-    `tokens` counts item tokens inside matched windows, `slots` the item's slot values there and
-    `mixed_slots` those that stand for several values. Items shorter than the window are matched as
+    `slots` counts the item's slot values inside matched windows and `mixed_slots` those that stand
+    for several values; of these, places with another value than the most frequent one (or the item's
+    own, of equally frequent ones) are inconsistent. `tokens` counts the item tokens inside matched
+    windows without such places or, where they are more than half of the slots or a tenth of the tokens, those
+    in windows that have none (a slot that keeps the item's value is none there). `row` is a hash of the text. Items shorter than the window are matched as
     a whole; those of fewer than three tokens, null texts and rows without an id match nothing.
-    Repeated rows of an id count as one text each on its own diagonal; items of equal text each count.
+    Different texts of an id count each on its own, equal ones as one; items of equal text each count.
     """
     items = benchmark.select(F.col("item_id"), typed(F.col("text")).alias("__t")).where("item_id IS NOT NULL AND size(__t) >= 3")
     sizes = sorted(r[0] for r in items.select(F.least(F.size("__t"), F.lit(window))).distinct().collect())  # at most `window` numbers
@@ -88,32 +92,43 @@ def passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> Dat
         .where((F.col("w.n") == window) | (F.col("w.n") == F.col("item_tokens")))
         .select("item_id", "item_tokens", F.col("w.h").alias("h"), F.col("w.at").alias("item_at"), F.col("w.tokens").alias("theirs"))
     )
-    doc_windows = _windows(docs.where("doc_id IS NOT NULL").select("doc_id", typed(F.col("text")).alias("__t")), sizes)
-    doc_windows = doc_windows.select("doc_id", F.explode_outer("__w").alias("w")).select(
-        "doc_id", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.n").alias("n"), F.col("w.tokens").alias("mine"))
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row"), typed(F.col("text")).alias("__t"))
+    doc_windows = _windows(texts, sizes).select("doc_id", "row", F.explode_outer("__w").alias("w")).select(
+        "doc_id", "row", F.col("w.h").alias("h"), F.col("w.at").alias("at"), F.col("w.n").alias("n"), F.col("w.tokens").alias("mine"))
     small = item_windows.count() <= BROADCAST_WINDOWS
     hits = doc_windows.join(F.broadcast(item_windows) if small else item_windows, "h")
-    key = ["doc_id", "item_id", "shift"]
-    hits = stored(hits.select("doc_id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_tokens", "n", "mine", "theirs"))
+    key = ["doc_id", "row", "item_id", "shift"]
+    hits = stored(hits.select("doc_id", "row", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_tokens", "n", "mine", "theirs"))
     pairs = hits.select(*key, "item_tokens", "item_at", "mine", "theirs", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")).select(
         *key, "item_tokens", (F.col("item_at") + F.col("k")).alias("place"), F.get("mine", F.col("k")).alias("mine"), F.get("theirs", F.col("k")).alias("theirs"))
-    places = pairs.groupBy(*key, "item_tokens", "place").agg(F.min("mine").alias("low"), F.max("mine").alias("high"), F.max("theirs").alias("theirs"))
     slot = F.col("theirs").startswith(NAME) | F.col("theirs").startswith(NUMBER)
-    values = places.groupBy(*key, "item_tokens", F.when(slot, F.col("theirs")).alias("slot")).agg(
-        F.count("*").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    return values.groupBy(*key, "item_tokens").agg(
-        F.sum("n").cast("int").alias("tokens"), F.count("slot").cast("int").alias("slots"),
-        F.count(F.when(F.col("slot").isNotNull() & (F.col("low") != F.col("high")), 1)).cast("int").alias("mixed_slots"),
-    )
+    places = stored(pairs.groupBy(*key, "item_tokens", "place").agg(F.max("mine").alias("mine"), F.max("theirs").alias("theirs")).withColumn(
+        "slot", F.coalesce(slot, F.lit(False))))
+    votes = places.where("slot").groupBy(*key, "theirs", "mine").agg(F.count("*").alias("n"))
+    top = votes.groupBy(*key, "theirs").agg(F.count("*").alias("values"), F.max(F.struct("n", F.col("mine") == F.col("theirs"), "mine"))["mine"].alias("top"))
+    odd = F.col("slot") & (F.col("mine") != F.col("top"))
+    first = F.col("slot") & (F.col("place") == F.col("first"))
+    top = top.join(places.where("slot").groupBy(*key, "theirs").agg(F.min("place").alias("first")), [*key, "theirs"])
+    sums = stored(places.join(top, [*key, "theirs"], "left").groupBy(*key, "item_tokens").agg(
+        F.count("*").alias("all"), F.count_if("slot").alias("held"), F.count_if(odd).alias("odd"), F.count_if(first).cast("int").alias("slots"),
+        F.count_if(first & (F.col("values") > 1)).cast("int").alias("mixed_slots"),
+        F.collect_set(F.when(odd & (F.col("mine") != F.col("theirs")), F.col("place"))).alias("bad")))
+    # too many differ: only windows without an inconsistent place count
+    frames = hits.join(sums.where(~F.expr(MOSTLY)).select(*key, "bad"), key).where(
+        ~F.exists("bad", lambda p: (p >= F.col("item_at")) & (p < F.col("item_at") + F.col("n"))))
+    clean = frames.select(*key, F.explode(F.sequence(F.col("item_at"), F.col("item_at") + F.col("n") - 1)).alias("place")).distinct().groupBy(*key).agg(F.count("*").alias("clean"))
+    tokens = F.when(F.expr(MOSTLY), F.col("all") - F.col("odd")).otherwise(F.coalesce("clean", F.lit(0)))
+    return sums.join(clean, key, "left").select(*key, tokens.cast("int").alias("tokens"), "item_tokens", "slots", "mixed_slots")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least_share: float = 0.8, least_tokens: int = 13) -> DataFrame:
     """`(doc_id, item_id, tokens, item_tokens, share)`: documents that hold an item.
 
-    Counted are the tokens of an item on diagonals with consistent slots; a leak has `least_share`
-    of the item or `least_tokens` tokens of it.
+    Counted are the tokens of an item on diagonals, without inconsistent slots; a leak has `least_share`
+    of the item or `least_tokens` tokens of it in one text.
     """
-    found = passages(docs, benchmark, window).where("mixed_slots = 0").groupBy("doc_id", "item_id", "item_tokens").agg(F.sum("tokens").alias("tokens"))
+    found = passages(docs, benchmark, window).groupBy("doc_id", "row", "item_id", "item_tokens").agg(F.sum("tokens").alias("tokens"))
+    found = found.groupBy("doc_id", "item_id", "item_tokens").agg(F.max("tokens").alias("tokens"))
     found = found.withColumn("tokens", F.least("tokens", F.col("item_tokens").cast("long")))
     share = F.col("tokens") / F.col("item_tokens")
     return found.withColumn("share", share).where((share >= least_share) | (F.col("tokens") >= least_tokens)).select(

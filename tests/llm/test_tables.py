@@ -52,6 +52,20 @@ def test_items_of_slots_match_word_for_word(spark, item):
     assert leaked(spark, rows, [(5, item, "")]) == [(1, 5), (2, 5), (4, 5)]
 
 
+def test_an_inconsistent_slot_leaves_the_rest(spark):
+    passage = f"it took 7 men to lift the stone and {PLAIN} and after that 7 men went home again while all the others stayed where they were"
+    twice = "Tom buys 2 apples every morning at the shop and eats them in 2 days so how many are left"
+    rows = [(1, passage.replace("that 7 men", "that 9 men"), ""), (2, twice.replace("2 apples", "3 apples").replace("2 days", "5 days"), ""),
+            (3, f"{passage}", ""), (3, passage.replace("7", "8"), ""), (4, FILLER, "")]
+    assert leaked(spark, rows, [(5, passage, ""), (6, twice, "")]) == [(1, 5), (2, 6), (3, 5)]
+    run = "add 3 and then go on to the next one "
+    item = f"{PLAIN} now {run * 4}"
+    mixed = item
+    for value in "4567":
+        mixed = mixed.replace(" 3 ", f" {value} ", 1)
+    assert leaked(spark, [(1, mixed, "")], [(5, item, "")]) == [(1, 5)]
+
+
 def test_short_items_repeated_rows_and_empty_tables(spark):
     item = "seven plain words make one short item"
     rows = [(1, f"{FILLER} {item} {FILLER}", ""), (1, f"{FILLER} {item} {FILLER}", ""), (2, "short item seven plain words make one", "")]
