@@ -134,9 +134,9 @@ def change_points(spark, folder):
 @query("isolation_forest")
 def isolation_forest(spark, folder):
     """Forest scores of all points of all series."""
-    return forest.forest_scores(row_index(pts(spark, folder)), OutlierOptions(n_trees=20))
+    return forest.forest_scores(row_index(pts(spark, folder)), OutlierOptions())
 
 
 @query("outlier_full")
 def outlier_full(spark, folder):
-    return detect_outliers(pts(spark, folder), OutlierOptions(detect_mode="full", n_trees=20))
+    return detect_outliers(pts(spark, folder), OutlierOptions(detect_mode="full"))

@@ -272,7 +272,7 @@ def forecast_bands(spark, folder):
 
 @query("forecast_detector")
 def forecast_detector(spark, folder):
-    return forecast.detect_forecast(current(spark, folder), history(spark, folder), ForecastOptions(periods=(24,), iterations=5, max_depth=4))
+    return forecast.detect_forecast(current(spark, folder), history(spark, folder), ForecastOptions(periods=(24,)))
 
 
 @query("routing_decisions")
@@ -282,7 +282,7 @@ def routing_decisions(spark, folder):
 
 @query("funnel_two_levels")
 def funnel_two_levels(spark, folder):
-    options = FunnelOptions(trend="daily", bucket_slot_secs=3_600, enable_l2=True, forecast_iterations=5)
+    options = FunnelOptions(trend="daily", bucket_slot_secs=3_600, enable_l2=True)
     return funnel.detect_funnel(current(spark, folder), history(spark, folder), options)
 
 

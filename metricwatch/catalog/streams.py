@@ -126,7 +126,7 @@ def stored_profile(spark, folder):
 @query("stored_forest_scores")
 def stored_forest_scores(spark, folder):
     """Later points scored with a forest trained on earlier ones and saved."""
-    base, options = scratch(spark), OutlierOptions(n_trees=10)
+    base, options = scratch(spark), OutlierOptions()
     scaling, nodes = forest.fit_forest(row_index(history(spark, folder)), options)
     key = model_key(options)
     save_tables(base, key, scaling=scaling, forest=nodes)
