@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricwatch.llm import debruijn, decontam, flat_tokens, perspectives, pii, quality, sharding, simhash, spm, suffixes
-from metricwatch.llm.common import shared_path, table
+from metricwatch.llm import debruijn, decontam, flat_tokens, negatives, periodic, perspectives, pii, quality, sharding, simhash, spm, suffixes, url_rules
+from metricwatch.llm.common import let, shared_path, table, words
 from metricwatch.session import prepare
 
 QUERIES = {}
@@ -141,3 +141,101 @@ def repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
 def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     left = suffixes.deduplicate(table(spark, folder, "documents", "doc_id", "text"))
     return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+HARD_NEGATIVES_SQL = """
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 256) AS BIGINT)) AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS own, b.vec_id AS other,
+  CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM r a JOIN r b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5),
+n AS (SELECT p.*, other AS negative_id, score AS negative_score,
+  row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) AS rank
+  FROM p JOIN s USING (anchor_id) WHERE NOT own AND 100 * score BETWEEN 50 * positive_score AND 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
+@query("op11_hard_negatives", HARD_NEGATIVES_SQL)
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings", "vec_id", "label", "embedding")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(negatives.vectors(rows, 256, label=label), F.col("vec_id") % 50 == 0)
+
+
+PERIODIC_SQL = r"""
+WITH c AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+  xor(4294967295, list_reduce(flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc % 2 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END, 4294967295::BIGINT)) AS h FROM documents),
+g AS (SELECT *, len(ws) AS n, h // 10 AS g, (h // 10) % greatest(len(ws), 1) AS a FROM c),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END) ELSE ws END AS ws FROM p),
+w AS (SELECT doc_id, n, i, ws[i + 1] AS word FROM (SELECT *, unnest(range(n)) AS i FROM d)),
+e AS (SELECT doc_id, x.i AS i, y.i - x.i AS q FROM w x JOIN w y USING (doc_id, word) WHERE y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+s AS (SELECT doc_id, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e)
+  GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(12, 2 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY ALL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_runs, arg_max(r, [length, -start, -period]) AS top,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(top.start AS BIGINT) AS start, CAST(top.length AS BIGINT) AS length, CAST(top.period AS BIGINT) AS period,
+  CAST(1000 * top.length // top.period AS BIGINT) AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op12_periodic_runs", PERIODIC_SQL)
+def periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """One document in ten gets a periodic tail, as the contract asks; then all runs of every document."""
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    tail = F.expr("h div 10")
+
+    def tailed(ws):
+        n = F.size(ws)
+        start = F.col("g") % n
+        period = F.lit(1) + F.floor((n - start) / (F.lit(3) + F.col("g") % 8))
+        place = lambda i: F.when(i < start, i).otherwise(start + (i - start) % period).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ws, place(i))), " ")).otherwise("")
+
+    docs = docs.withColumn("h", h).withColumn("g", tail)
+    docs = docs.withColumn("text", F.when(F.col("h") % 10 == 0, let(words(F.col("text")), tailed)).otherwise(F.col("text")))
+    found = periodic.find(docs)
+    order = lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))
+    top = F.array_max(F.transform("runs", order))
+    line = F.concat_ws("", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))))
+    found = found.withColumn("top", top)
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"),
+        (-F.col("top.period")).alias("period"), F.expr("1000 * top.length div -top.period").alias("exponent_milli"),
+        F.sha2(line, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"))
+
+
+URL_RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
+URL_SQL = r"""
+WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT * FROM (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')) AS t(rhost, rpath, rverdict)),
+f AS (SELECT host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(rverdict, length(rhost || rpath)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM p) JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY ALL)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN verdict
+  WHEN regexp_matches('.' || host || path, '^[^/]*\.(ads|ads-track|spam-farm|casino)\.')
+    OR contains(host || path, '-casino.') OR regexp_matches(host || path, '/(login|cart|checkout)([^0-9A-Za-z_.%-]|$)')
+    OR contains(path, '/wp-admin/') OR ends_with(host || path, '.zip') OR ends_with(host || path, '.exe')
+    OR regexp_matches(host || path, '(?s)/feed/.*/rss([^0-9A-Za-z_.%-]|$)') THEN 'block' ELSE 'allow' END AS verdict
+FROM p LEFT JOIN f USING (host, path)
+"""
+
+
+@query("op13_url_filters", URL_SQL)
+def url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    rules = url_rules.rule_table(spark, [*url_rules.DEFAULT_RULES, *(url_rules.host_rule(*r) for r in URL_RULES)])
+    judged = url_rules.judge(table(spark, folder, "pages", "page_id", "url"), rules)
+    rule = F.when(F.col("judged.level") == 1, F.col("judged.name"))
+    return judged.select("page_id", "judged.host", "judged.path", rule.alias("rule"), "judged.verdict")
