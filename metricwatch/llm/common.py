@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable
 
@@ -43,7 +44,22 @@ def stored(df: DataFrame) -> DataFrame:
     """
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, and have Spark drop the shuffle files of finished jobs.
+
+    Spark removes shuffle files when the driver's garbage is collected, by default every half hour;
+    asking for it between the steps of a long operator keeps the disk to what the next step needs.
+    """
+    for table in tables:
+        place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._stored_at)
+        place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def by_ids(docs: DataFrame, ids: DataFrame, how: str, id_column: str = "doc_id") -> DataFrame:

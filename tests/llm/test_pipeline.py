@@ -2,8 +2,8 @@ import os
 import re
 
 import sentencepiece
+from test_near_copies import brute as near_copies_dropped
 from test_quality_pii import by_hand  # noqa: F401 - the measures, by hand
-from test_simhash import brute_fingerprint
 
 import corpus_pipeline
 from metricwatch.llm import pii, quality, spm
@@ -25,14 +25,8 @@ def brute(docs, items):
         lines = len([x for x in (row[1] or "").split("\n") if x.strip()])
         if n >= 50 and 2 * repeated <= n and 2 * n <= chars <= 16 * n and symbols <= n / 4 and stop >= n / 50 and capitals <= 0.3 * chars and dup <= lines / 2:
             good.append(row)
-    prints = {row[0]: brute_fingerprint(row[1]) for row in good}
-    root = {i: i for i in prints}
-    for _ in prints:  # smallest id reachable: repeat until nothing changes
-        for a in prints:
-            for b in prints:
-                if bin(prints[a] ^ prints[b]).count("1") <= 3:
-                    root[a] = min(root[a], root[b])
-    single = [row for row in good if root[row[0]] == row[0]]
+    dropped = near_copies_dropped([(row[0], row[1]) for row in good])
+    single = [row for row in good if row[0] not in dropped]
     words = lambda t: " ".join(re.findall(r"\w+", t.lower()))
     safe = [row for row in single if not any(words(x) in words(row[1]) for _, x in items)]
     library = sentencepiece.SentencePieceProcessor(model_file=spm.default_model())
@@ -42,6 +36,8 @@ def brute(docs, items):
 def test_stages_equal_plain_loops(spark, tmp_path):
     item = "how many of the small stones did the old man carry over the hill before the rain came down"
     docs = [(i, clean(i)) for i in range(1, 13)]
+    tokens = clean(50).split()
+    docs += [(40, " ".join(tokens)), (41, " ".join([*tokens[:60], "another", *tokens[61:]])), (42, " ".join([*tokens[::-1][:30], *tokens]))]  # 41 is near 40 by words, not by 3 bits; 42 is not
     docs += [(20, clean(1)), (21, clean(2) + " end"), (22, clean(30) + " " + item + " " + clean(31)), (23, clean(32) + " mail bob (at) example [dot] com or 10.1.2.3 "),
              (24, None), (25, ""), (26, "short one"), (27, clean(33).upper()), (28, re.sub(" ", "*** ", clean(34))), (29, ("same line again\n" * 60))]
     items = [(1, item), (2, "nobody ever asked this in any of the documents that were put here today")]
@@ -68,5 +64,5 @@ def test_registered_with_the_other_queries():
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert {"pipeline"} | {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names}
+    assert {"pipeline"} | {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names}
     assert os.path.exists(spm.default_model())
