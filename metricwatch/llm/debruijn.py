@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricwatch.llm.anchors import Prefix, keyed, opened, run_table, word_units
-from metricwatch.llm.common import stored
+from metricwatch.llm.common import release, stored
 
 WINDOW = 13
 GRAM = 4
@@ -55,11 +55,13 @@ def _edges(rows: DataFrame, paths: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """`(key, start, n)`: windows of `(key, rank, text)` that also start in a row of smaller rank."""
+    """`(key, gone)`, stored: the windows `(start, n)` of `(key, rank, text)` that also start in a row of smaller rank."""
     found = run_table(rows, _words, window, gram)
-    shared = found.groupBy("anchor").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b").select("anchor")
+    repeated = stored(found.groupBy("anchor").agg(F.min("rank").alias("a"), F.max("rank").alias("b")).where("a < b").select("anchor"))
     # stored first, so that both sides of the join are plain shuffles, which Spark splits where an anchor is frequent
-    shared = opened(stored(found.join(stored(shared), "anchor", "left_semi")))
+    several = stored(found.join(repeated, "anchor", "left_semi"))
+    release(repeated)
+    shared = opened(several)
     # equal paths are one; its first document owns it
     paths = stored(shared.groupBy("anchor", "digest", "n").agg(F.min(F.struct("rank", "key", "start")).alias("first")))
     later = shared.join(paths.select("anchor", "digest", "n", F.col("first.rank").alias("owner")), ["anchor", "digest", "n"]).where("owner < rank")
@@ -71,7 +73,10 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     old = edges.join(firsts, ["anchor", "edge"]).where("owner < rank").select("anchor", "digest", "n", "rank", "at")
     # a path may come several times in its first document
     single = shared.join(old, ["anchor", "digest", "n", "rank"]).select("key", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
-    return later.select("key", "start", "n").union(single)
+    gone = later.select("key", "start", "n").union(single).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("gone"))  # bounded by the text
+    gone = stored(gone)
+    release(several, paths, edges)
+    return gone
 
 
 def _without(text: str, starts: np.ndarray, n: np.ndarray, window: int) -> tuple[int, int, str]:
@@ -87,7 +92,7 @@ def _without(text: str, starts: np.ndarray, n: np.ndarray, window: int) -> tuple
 def deduplicate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """`(id, n_words, n_removed, kept)` of each row; `kept` joins the words that stay by one space."""
     rows = keyed(docs, id_column, text).withColumn("rank", F.coalesce(F.col("id").cast("long"), F.lit(LAST)))
-    gone = repeated_windows(rows, window, gram).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    gone = repeated_windows(rows, window, gram)
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
