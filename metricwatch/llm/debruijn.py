@@ -66,9 +66,11 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     paths = stored(shared.groupBy("anchor", "digest", "n").agg(F.min(F.struct("rank", "key", "start")).alias("first")))
     later = shared.join(paths.select("anchor", "digest", "n", F.col("first.rank").alias("owner")), ["anchor", "digest", "n"]).where("owner < rank")
     # where different paths share an anchor, the owners' paths are taken apart
-    branching = paths.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    owners = paths.join(branching, "anchor", "left_semi").select("anchor", "digest", "n", "first.key", "first.start")
+    branching = stored(paths.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"))
+    owners = stored(paths.join(branching, "anchor", "left_semi").select("anchor", "digest", "n", "first.key", "first.start"))
+    release(branching)
     edges = stored(_edges(rows, owners, window))
+    release(owners)
     firsts = edges.groupBy("anchor", "edge").agg(F.min("rank").alias("owner"), F.max("rank").alias("latest")).where("owner < latest")
     old = edges.join(firsts, ["anchor", "edge"]).where("owner < rank").select("anchor", "digest", "n", "rank", "at")
     # a path may come several times in its first document
