@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE_MARK = "▁"
-REMEMBERED = 1_200_000  # words whose ids, and pairs of pieces whose fit, a worker remembers at most
+REMEMBERED = 400_000  # words whose ids, and pairs of pieces whose fit, a worker remembers at most
 NEVER = 1 << 60  # the rank of what is no piece
 LOOK_EVERY = 64  # boundaries between two tests for convergence
 LONGEST_REMEMBERED = 64
