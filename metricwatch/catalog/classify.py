@@ -200,18 +200,18 @@ def circular_ctes(src: str, max_lag: int) -> tuple:
     return (
         ("cr", f"SELECT series_id, rn, value - avg(value) OVER (PARTITION BY series_id ORDER BY rn ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS x FROM {src}"),
         ("cx", "SELECT series_id, rn - 1 AS pos, x, count(*) OVER (PARTITION BY series_id) AS n FROM cr WHERE rn >= 1"),
-        ("cc", f"SELECT a.series_id, CAST(lag AS BIGINT) AS lag, sum(a.x * b.x) / any_value(a.n) AS ac FROM cx a, (SELECT unnest(range(0, {max_lag + 1})) AS lag) "
+        ("cc", f"SELECT a.series_id, CAST(lag AS BIGINT) AS lag, sum(a.x * b.x) / any_value(a.n) AS ac FROM cx a JOIN (SELECT unnest(range(0, {max_lag + 1})) AS lag) ON lag < a.n "
                "JOIN cx b ON b.series_id = a.series_id AND b.pos = (a.pos + lag) % a.n GROUP BY 1, 2"),
     )
 
 
 @query(
     "circular_autocorrelation",
-    with_ctes("raw", *MA, *circular_ctes("hx", 100)) + f"SELECT series_id, lag, {q_sql('ac')} AS ac FROM cc",
+    with_ctes("raw", *MA, *circular_ctes("hx", 100_000)) + f"SELECT series_id, lag, {q_sql('ac')} AS ac FROM cc",
 )
 def circular_autocorrelation(spark, folder):
     residual = features.trailing_residual(wavy(spark, folder), 2)
-    return rounded(correlation.circular_autocorrelation(residual, "residual", 100), "ac", keep=("series_id", "lag"))
+    return rounded(correlation.circular_autocorrelation(residual, "residual"), "ac", keep=("series_id", "lag"))
 
 
 def peak_ctes(threshold: float) -> tuple:

@@ -1,7 +1,12 @@
 """Lagged products of series: autocorrelation, peaks and periods.
 
-A block of consecutive rows with a halo gives its share of every lagged sum; the shares add
-up. Blocks have equal size, so a long series is spread over many tasks.
+For a few lags, a block of consecutive rows with a halo gives its share of every lagged sum; the
+shares add up. Blocks have equal size, so a long series is spread over many tasks.
+
+For all lags, every block is transformed (FFT) and cut into stretches of frequencies. A task holds
+one stretch of all blocks and adds up the products of block pairs at equal distance, by a second
+transform across the blocks; one inverse transform for each distance gives the sums. Rows move
+three times, whatever the number of lags, and no task holds more than CELLS values.
 """
 
 from __future__ import annotations
@@ -10,13 +15,15 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricwatch.operators.joins import attach
-from metricwatch.operators.ordered import BLOCK_ROWS, with_halo
+from metricwatch.operators.ordered import BLOCK_ROWS, rolling, with_halo
 
-LAG_LIMIT = 2_048
+HALO = 4_096  # lags up to which blocks with a halo are used where the bound is known
+CELLS = 1 << 20  # spectrum values of a series in one task
 
 
 def lag_products(
@@ -24,15 +31,23 @@ def lag_products(
     lags: Sequence[int] | None,
     value: str = "value",
     max_lag: str | None = None,
-    limit: int = LAG_LIMIT,
+    limit: int | None = None,
     index: str = "rn",
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """`series_id, lag, product, pairs`: Σ x[i]·x[i-lag] over each series.
 
-    `lags` lists the lags wanted; without it all lags from 0 to the row's `max_lag` column,
-    which may be at most `limit`.
+    `lags` lists the lags wanted; without it all lags from 0 to the row's `max_lag` column. A
+    `limit` that no row's `max_lag` exceeds (a larger one is an error) keeps to blocks with a halo
+    of that width; without a limit all lags are computed at once, see `all_lag_products`.
     """
+    if lags is None and limit is None:
+        every = all_lag_products(indexed, value, index, block_rows)
+        tops = indexed.groupBy("series_id").agg(F.max(max_lag).alias("_most"))
+        return attach(every, tops, spread_by="lag").where(F.col("lag") <= F.col("_most")).select("series_id", "lag", "product", (F.col("n") - F.col("lag")).alias("pairs"))
+    if lags is None:
+        fits = F.when(F.col(max_lag) > limit, F.raise_error(F.lit(f"a series asks for lags beyond {limit}"))).otherwise(F.col(max_lag))
+        indexed = indexed.withColumn(max_lag, fits)
     wanted = None if lags is None else np.asarray(sorted(set(lags)), dtype=np.int64)
     back = limit if wanted is None else int(wanted.max())
     columns = ["series_id", index, value] + ([max_lag] if max_lag else [])
@@ -60,6 +75,71 @@ def lag_products(
     return shares.groupBy("series_id", "lag").agg(F.sum("product").alias("product"), F.sum("pairs").alias("pairs"))
 
 
+def all_lag_products(
+    indexed: DataFrame, value: str = "value", index: str = "rn", block_rows: int = BLOCK_ROWS, max_lag: int | None = None,
+) -> DataFrame:
+    """`series_id, n, lag, product`: Σ x[i]·x[i-lag] for every lag below the series' length n, or up to `max_lag`.
+
+    Positions of a series are consecutive. A missing value counts as 0.
+    """
+    sizes = indexed.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.min(index).alias("_start"))
+    # a short series is one block, no longer than it has to be
+    size = F.least(F.lit(block_rows), F.greatest(F.lit(1), F.pow(F.lit(2.0), F.ceil(F.log2("n"))).cast("int")))
+    sizes = sizes.withColumn("_size", size)
+    rows = attach(indexed.select("series_id", index, value), sizes, how="inner", spread_by=index).withColumn("_pos", F.col(index) - F.col("_start"))
+    rows = rows.select("series_id", "n", "_size", F.expr("_pos div _size").alias("_block"), F.expr("_pos % _size").alias("_at"), F.coalesce(value, F.lit(0.0)).cast("double").alias("_x"))
+    keys = "series_id string, n long, _size int"
+
+    def parts(n: int, size: int) -> list[tuple[int, int]]:
+        """The stretches of frequencies of a series; one stretch of all blocks has at most CELLS values."""
+        width = max(1, CELLS // -(-n // size))
+        return [(i, min(i + width, size + 1)) for i in range(0, size + 1, width)]
+
+    def table(key: tuple, spectra: list[tuple[dict, np.ndarray]]) -> pa.Table:
+        series, n, size = key
+        body = {"series_id": pa.array([series] * len(spectra), pa.string()), "n": pa.array([n] * len(spectra), pa.int64()), "_size": pa.array([size] * len(spectra), pa.int32())}
+        for name in ("_line", "_part"):
+            body[name] = pa.array([s[0][name] for s in spectra], pa.int64())
+        for name, take in (("re", np.real), ("im", np.imag)):
+            body[name] = pa.array([take(s[1]).astype(np.float64) for s in spectra], pa.list_(pa.float64()))
+        return pa.table(body)
+
+    def forward(group: pa.Table) -> pa.Table:
+        key = tuple(group[c][0].as_py() for c in ("series_id", "n", "_size"))
+        x = np.zeros(2 * key[2])
+        x[group["_at"].to_numpy()] = group["_x"].to_numpy()
+        spectrum, block = np.fft.rfft(x), group["_block"][0].as_py()
+        return table(key, [({"_line": block, "_part": i}, spectrum[a:b]) for i, (a, b) in enumerate(parts(*key[1:]))])
+
+    def across(group: pa.Table) -> pa.Table:
+        key = tuple(group[c][0].as_py() for c in ("series_id", "n", "_size"))
+        blocks, part = -(-key[1] // key[2]), group["_part"][0].as_py()
+        rows = np.zeros((2 * blocks, len(group["re"][0])), np.complex128)
+        for at, re, im in zip(group["_line"].to_pylist(), group["re"], group["im"]):
+            rows[at] = re.values.to_numpy() + 1j * im.values.to_numpy()
+        # along the blocks this is an autocorrelation again
+        sums = np.fft.ifft(np.abs(np.fft.fft(rows, axis=0)) ** 2, axis=0)[:blocks]
+        last = blocks if max_lag is None else min(blocks, max_lag // key[2] + 2)
+        return table(key, [({"_line": d, "_part": part}, sums[d]) for d in range(last)])
+
+    def back(group: pa.Table) -> pa.Table:
+        key = tuple(group[c][0].as_py() for c in ("series_id", "n", "_size"))
+        series, n, size = key
+        far, group = group["_line"][0].as_py(), group.sort_by("_part")
+        spectrum = group["re"].combine_chunks().flatten().to_numpy() + 1j * group["im"].combine_chunks().flatten().to_numpy()
+        sums = np.fft.irfft(spectrum, 2 * size)
+        lags = far * size + np.r_[np.arange(size), np.arange(-size, 0)]
+        keep = (lags >= 0 if far else np.arange(2 * size) < size) & (lags < n) & (lags <= (n if max_lag is None else max_lag))
+        count = int(keep.sum())
+        return pa.table({"series_id": pa.array([series] * count, pa.string()), "n": pa.array(np.full(count, n)), "lag": pa.array(lags[keep]), "product": pa.array(sums[keep])})
+
+    lines = f"{keys}, _line long, _part long, re array<double>, im array<double>"
+    spectra = rows.groupBy("series_id", "n", "_size", "_block").applyInArrow(forward, lines)
+    sums = spectra.groupBy("series_id", "n", "_size", "_part").applyInArrow(across, lines)
+    shares = sums.groupBy("series_id", "n", "_size", "_line").applyInArrow(back, "series_id string, n long, lag long, product double")
+    return shares.groupBy("series_id", "n", "lag").agg(F.sum("product").alias("product"))
+
+
 def centred(indexed: DataFrame, value: str = "value") -> DataFrame:
     """Add `x` (value minus the series' mean, 0 for a missing one) and `n`, the number of values.
 
@@ -70,16 +150,21 @@ def centred(indexed: DataFrame, value: str = "value") -> DataFrame:
 
 
 def autocorrelation(
-    indexed: DataFrame, lags: Sequence[int] | None = None, max_lag: Column | int | None = None, limit: int = LAG_LIMIT
+    indexed: DataFrame, lags: Sequence[int] | None = None, max_lag: Column | int | None = None, limit: int | None = None, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
-    """`series_id, lag, acf, n`: Σ(x[i]-m)(x[i-lag]-m) / Σ(x[i]-m)², NULL without spread."""
+    """`series_id, lag, acf, n`: Σ(x[i]-m)(x[i-lag]-m) / Σ(x[i]-m)², NULL without spread.
+
+    Without `lags` all lags up to `max_lag`; a bound that is known for all series (a number, or
+    `limit`) and short for a block keeps to blocks with a halo.
+    """
     rows = centred(indexed)
     if lags is None:
         top = F.lit(max_lag) if isinstance(max_lag, int) else max_lag
         rows = rows.withColumn("_top", F.least(top, F.col("n") - 1))
-        sums = lag_products(rows, None, "x", "_top", max_lag if isinstance(max_lag, int) else limit)
+        bound = max_lag if isinstance(max_lag, int) else limit
+        sums = lag_products(rows, None, "x", "_top", bound if bound is not None and bound <= HALO else None, block_rows=block_rows)
     else:
-        sums = lag_products(rows, [0, *lags], "x")
+        sums = lag_products(rows, [0, *lags], "x", block_rows=block_rows)
     zero = sums.where(F.col("lag") == 0).select("series_id", F.col("product").alias("_c0"), F.col("pairs").alias("n"))
     acf = F.when(F.col("_c0") > 0, F.col("product") / F.col("_c0"))
     return sums.join(zero, "series_id").where(F.col("lag") < F.col("n")).select("series_id", "lag", acf.alias("acf"), "n")
@@ -95,38 +180,25 @@ def acf_vector(indexed: DataFrame, max_lag: int) -> DataFrame:
 
 def peaks(sequence: DataFrame, value: str, floor: Column, order: str = "lag") -> DataFrame:
     """Rows above both neighbours and at least `floor` (may use `top`, the largest value after lag 0)."""
-    w = Window.partitionBy("series_id").orderBy(order)
     tops = sequence.where(F.col(order) > 0).groupBy("series_id").agg(F.max(value).alias("top"))
-    wide = (
-        sequence.withColumn("_l", F.lag(value).over(w)).withColumn("_r", F.lead(value).over(w))
-        .join(tops, "series_id")
-    )
+    wide = rolling(sequence, {"_l": lambda w: F.lag(value).over(w), "_r": lambda w: F.lead(value).over(w)}, 1, 1, index=order)
+    wide = attach(wide, tops, how="inner", spread_by=order)
     high = (F.col(value) > F.col("_l")) & (F.col(value) > F.col("_r")) & (F.col(value) >= floor)
     return wide.where(high).drop("_l", "_r", "top")
 
 
-def circular_autocorrelation(indexed: DataFrame, value: str, max_lag: int) -> DataFrame:
-    """`series_id, lag, ac`: mean of x[i]·x[(i+lag) mod n] for lags up to min(max_lag, n-1).
+def circular_autocorrelation(indexed: DataFrame, value: str, max_lag: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """`series_id, lag, ac, n`: mean of x[i]·x[(i+lag) mod n] for every lag below n, or up to `max_lag`.
 
-    The first rows are appended behind the last, which turns the wrap into ordinary lags.
+    The wrapped pairs of a lag are the plain pairs of n - lag. A missing value counts as 0.
     """
-    sizes = indexed.groupBy("series_id").agg(F.count(F.lit(1)).alias("n"), F.min("rn").alias("_start"))
-    rows = attach(indexed.select("series_id", "ts", "rn", F.col(value).alias("x")), sizes).withColumn(
-        "pos", F.col("rn") - F.col("_start")
-    )
-    wraps = F.when(F.col("pos") < F.least(F.lit(max_lag), F.col("n") - 1), F.col("pos") + F.col("n"))
-    longer = rows.withColumn("pos", F.explode(F.array_compact(F.array(F.col("pos"), wraps)))).withColumn(
-        "_top", F.least(F.lit(max_lag), F.col("n") - 1)
-    )
-    sums = lag_products(longer, None, "x", "_top", max_lag, "pos")
-    # Pairs that end inside the first `lag` rows have no partner yet, and pairs within the
-    # appended rows would count twice: take those off.
-    head = lag_products(longer.where(F.col("pos") >= F.col("n")), None, "x", "_top", max_lag, "pos")
-    inner = head.select("series_id", "lag", F.col("product").alias("_twice"))
-    return (
-        sums.join(inner, ["series_id", "lag"], "left").join(sizes.drop("_start"), "series_id")
-        .select("series_id", "lag", ((F.col("product") - F.coalesce("_twice", F.lit(0.0))) / F.col("n")).alias("ac"), "n")
-    )
+    plain = all_lag_products(indexed, value, block_rows=block_rows)
+    mirrored = F.when(F.col("lag") > 0, F.col("n") - F.col("lag"))
+    both = plain.withColumn("lag", F.explode(F.array_compact(F.array("lag", mirrored))))
+    if max_lag is not None:
+        both = both.where(F.col("lag") <= max_lag)
+    sums = both.groupBy("series_id", "n", "lag").agg(F.sum("product").alias("_sum"))
+    return sums.select("series_id", "lag", (F.col("_sum") / F.col("n")).alias("ac"), "n")
 
 
 def peak_intervals(found: DataFrame, all_pairs: bool = False) -> DataFrame:

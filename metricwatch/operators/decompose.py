@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from metricwatch.operators import correlation
 from metricwatch.operators.features import trailing_residual
 from metricwatch.operators.joins import attach
-from metricwatch.operators.ordered import rolling
+from metricwatch.operators.ordered import rolling, running_sum
 from metricwatch.operators.quantiles import exact_quantiles
 from metricwatch.session import cut_lineage
 
@@ -30,26 +30,28 @@ def usable_periods(periods: Column, n: Column) -> Column:
 
 
 def centred_mean(rows: DataFrame, value: str, out: str, half: Column | int) -> DataFrame:
-    """Mean over positions rn - half .. rn + half within the series.
+    """Mean over positions rn - half .. rn + half within the series, missing values left out.
 
-    A fixed half width is a plain frame. One that differs by series (at most MAX_PERIOD / 2)
-    is cut out of the widest frame, so the rows are read once either way.
+    A fixed half width is a plain frame. One that differs by series, however wide, is a difference
+    of two running sums around the series' mean, each fetched by its position.
     """
     if isinstance(half, int):
         def fixed(w: WindowSpec) -> Column:
             return F.avg(value).over(w.rowsBetween(-half, half))
 
         return rolling(rows, {out: fixed}, half, half)
-    widest = MAX_PERIOD // 2
-    wide = rolling(
-        rows, {"_seen": lambda w: F.collect_list(value).over(w.rowsBetween(-widest, widest))}, widest, widest
-    ).withColumn("_half", half.cast("int"))
-    here = F.least(F.col("rn"), F.lit(widest)).cast("int")
-    first = F.greatest(here - F.col("_half"), F.lit(0))
-    last = F.least(here + F.col("_half"), F.size("_seen") - 1)
-    span = F.slice("_seen", first + 1, last - first + 1)
-    mean = F.aggregate(span, F.lit(0.0), lambda acc, v: acc + v) / F.size(span)
-    return wide.withColumn(out, mean).drop("_seen", "_half")
+    stats = rows.groupBy("series_id").agg(F.avg(value).alias("_mean"), F.max("rn").alias("_last"))
+    wide = attach(rows, stats, spread_by="rn").withColumn("_to", F.least(F.col("rn") + half, "_last").cast("long")).withColumn("_from", (F.col("rn") - half - 1).cast("long"))
+    known = F.col(value).isNotNull()
+    sums = running_sum(
+        wide.select("series_id", "rn", value, "_mean"),
+        {"_s": F.when(known, F.col(value) - F.col("_mean")).otherwise(0.0), "_c": known.cast("long")},
+    )
+    at = lambda name: sums.select("series_id", F.col("rn").alias(f"_{name}"), F.col("_s").alias(f"_s_{name}"), F.col("_c").alias(f"_c_{name}"))
+    wide = wide.join(at("to"), ["series_id", "_to"], "left").join(at("from"), ["series_id", "_from"], "left")
+    part = lambda name: F.coalesce(f"_{name}_to", F.lit(0)) - F.coalesce(f"_{name}_from", F.lit(0))
+    mean = F.when(part("c") > 0, F.col("_mean") + part("s") / part("c"))
+    return wide.withColumn(out, mean).select(*rows.columns, out)
 
 
 def remove_season(rows: DataFrame, value: str, period: Column | int, season: str) -> DataFrame:
@@ -116,17 +118,14 @@ def season_residuals(indexed: DataFrame, periods: Sequence[int], value: str = "v
 
 
 def dominant_period(indexed: DataFrame, value: str, max_period: int = MAX_PERIOD) -> DataFrame:
-    """The most frequent distance between significant autocorrelation peaks per series.
-
-    Peaks are looked for up to four times the longest period allowed.
-    """
+    """The most frequent distance, up to `max_period`, between significant autocorrelation peaks per series; all lags count."""
     residual = trailing_residual(indexed, 2, value)
-    ac = correlation.circular_autocorrelation(residual, "residual", 4 * max_period)
+    ac = cut_lineage(correlation.circular_autocorrelation(residual, "residual"))  # read for its largest value and for the peaks
     found = correlation.peaks(ac, "ac", F.col("top") * PEAK_SHARE)
     return correlation.top_periods(correlation.peak_intervals(found), 1, 1, max_period).select("series_id", "period")
 
 
-def auto_decompose(indexed: DataFrame, value: str = "value", rounds: int = MAX_ROUNDS) -> DataFrame:
+def auto_decompose(indexed: DataFrame, value: str = "value", rounds: int = MAX_ROUNDS, max_period: int = MAX_PERIOD) -> DataFrame:
     """Up to three rounds of finding one period per series and taking its season and trend off.
 
     Returns the rows with `y` (what is left) and `periods` found. All series go through a
@@ -134,7 +133,7 @@ def auto_decompose(indexed: DataFrame, value: str = "value", rounds: int = MAX_R
     """
     rows = indexed.withColumn("y", F.col(value)).withColumn("periods", F.array().cast("array<bigint>")).withColumn("_open", F.lit(True))
     for _ in range(rounds):
-        found = dominant_period(rows.where("_open"), "y")
+        found = dominant_period(rows.where("_open"), "y", max_period)
         fits = F.when(F.col("_open") & (F.col("period") * 2 <= F.col("n")), F.col("period"))
         wide = attach(rows, cut_lineage(found)).withColumn("_p", fits).drop("period")
         wide = cut_lineage(remove_season(wide, "y", F.col("_p"), "_season"))
