@@ -11,15 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricwatch.catalog.dynamics import T0
-from metricwatch.catalog.funnel import BANDS, DAILY, HIST, SAMPLES, current, history, l1_ctes, purge_ctes
+from metricwatch.catalog.funnel import BANDS, DAILY, DAY, HIST, SAMPLES, current, history, l1_ctes, purge_ctes
+from metricwatch.catalog.prepare import key_sql
 from metricwatch.catalog.registry import query, with_ctes
 from metricwatch.catalog.statistics import rounded, rounded_sql
 from metricwatch.functions.numeric import q, q_sql
 from metricwatch.operators import forest
 from metricwatch.operators.ordered import row_index
-from metricwatch.options import OutlierOptions
-from metricwatch.session import checkpoint_dir
-from metricwatch.sources.store import load_tables, model_key, save_tables
+from metricwatch.options import FunnelOptions, OutlierOptions
+from metricwatch.session import checkpoint_dir, cut_lineage
+from metricwatch.sources import alerts
+from metricwatch.sources.store import load_parts, load_tables, model_key, save_tables
 from metricwatch.streaming import online, points
 
 LATE = 600
@@ -105,14 +107,47 @@ def stream_l1_scoring(spark, folder):
     return rounded(spark.read.parquet(f"{base}/out"), *BANDS, keep=("series_id", "ts", "value", "verdict"))
 
 
-@query("stream_profile_upkeep")
+# The stream's points with their flags under the bands of the history, and what the profile then holds.
+UPKEEP = (
+    ("fl", "SELECT series_id, ts, value, coalesce(value < lower_bound OR value > upper_bound, false) AS bad FROM lv"),
+    ("ls", "SELECT series_id, max(ts) AS last FROM pts GROUP BY 1"),
+    ("un", f"SELECT series_id, bucket, ts, value FROM kept UNION ALL SELECT series_id, CAST({key_sql('daily', 3600)} AS INT), ts, value FROM fl WHERE NOT bad"),
+    ("ub", f"SELECT un.* FROM un JOIN ls USING (series_id) WHERE ts >= last - {DAILY.lookback_secs}"),
+    *purge_ctes("ub", 3.5, 5, 12, "learned"),
+)
+
+
+@query(
+    "stream_profile_upkeep",
+    with_ctes("pts", *l1_ctes(), *UPKEEP) + "SELECT series_id, bucket, ts, value FROM learned",
+)
 def stream_profile_upkeep(spark, folder):
     """The profile after the stream has been scored and learned."""
     base = scratch(spark)
     online.save_profile(f"{base}/store", "profile", history(spark, folder), DAILY)
     run = online.run_online(_current_stream(spark, folder), f"{base}/store", "profile", f"{base}/out", f"{base}/state", DAILY)
     run.awaitTermination()
-    return load_tables(spark, f"{base}/store", "profile", "samples")[0]
+    return load_parts(spark, f"{base}/store", "profile", "samples")[0]
+
+
+TWO_RUNS = FunnelOptions(trend="daily", bucket_slot_secs=3_600, eval_window_secs=10 * DAY, alert_output_mode="dedupe")
+
+
+@query(
+    "funnel_dedupe_two_runs",
+    with_ctes("pts", *l1_ctes())
+    + f"SELECT series_id, ts, value, verdict, CASE WHEN ts >= {T0 + 3 * DAY} AND (value < lower_bound OR value > upper_bound) THEN 1 ELSE 0 END AS anomaly "
+    f"FROM lv WHERE ts >= {T0 + DAY} AND ts < {T0 + 5 * DAY}",
+)
+def funnel_dedupe_two_runs(spark, folder):
+    """The second of two overlapping evaluations raises only what the first has not; run again, it raises the same."""
+    base, now = scratch(spark), current(spark, folder)
+    online.save_profile(base, "profile", history(spark, folder), TWO_RUNS)
+    for run, start, end in (("first", 0, 3), ("second", 1, 5), ("second", 1, 5)):
+        window = now.where((F.col("ts") >= T0 + start * DAY) & (F.col("ts") < T0 + end * DAY)).withColumn("event_id", F.lit(0))
+        scored = cut_lineage(online.score_batch(window, base, "profile", TWO_RUNS, run))
+        alerts.mark_alerted(base, "profile", run, scored)
+    return scored.select("series_id", "ts", "value", "verdict", "anomaly")
 
 
 @query("stored_profile", with_ctes("pts", HIST, SAMPLES, *purge_ctes("b", 3.5, 5, 10, "kept")) + "SELECT series_id, bucket, ts, value FROM kept")
@@ -120,7 +155,7 @@ def stored_profile(spark, folder):
     """A profile as it comes back from its table."""
     base = scratch(spark)
     online.save_profile(base, "profile", history(spark, folder), DAILY)
-    return load_tables(spark, base, "profile", "samples")[0]
+    return load_parts(spark, base, "profile", "samples")[0]
 
 
 @query("stored_forest_scores")

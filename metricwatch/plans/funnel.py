@@ -133,24 +133,18 @@ def shape_alerts(result: DataFrame, mode: str, alerted: DataFrame | None = None)
     return result
 
 
-def detect_funnel(
-    current: DataFrame,
-    history: DataFrame,
-    options: FunnelOptions = FunnelOptions(),
-    stored: tuple[DataFrame, DataFrame] | None = None,
-    alerted: DataFrame | None = None,
+def score(
+    current: DataFrame, history: DataFrame, meta: DataFrame, samples: DataFrame, methods: DataFrame, options: FunnelOptions = FunnelOptions(),
 ) -> DataFrame:
-    """Flags and bands for the current points of every series.
+    """Verdicts, bands and flags of the current points under a profile that does not hold them.
 
-    `stored` is a saved profile `(meta, samples)`; without it one is built from history. Rows
-    before the evaluation window are shown with their own value and no band.
+    Points outside the evaluation window, and those of a series that the gate holds back, are shown
+    with their own value, no band and no verdict. `history` serves the second level only.
     """
-    meta, samples = stored or profile.build_profile(history, options)
-    clean = profile.without_points(samples, current) if stored else samples
     gates = missing_gate(current, options.max_missing_rate, zeros=2.0).select("series_id", "gate")
     rows = attach(eval_window(current, options.eval_window_secs), gates)
     checked = F.col("in_eval") & (F.col("gate") != "missing")
-    l1 = l1_filter(rows.where(checked), meta, l1_buckets(meta, clean, options), l1_methods(history), options)
+    l1 = l1_filter(rows.where(checked), meta, l1_buckets(meta, samples, options), methods, options)
     if options.enable_l2:
         from metricwatch.plans.escalate import second_level
 
@@ -159,12 +153,24 @@ def detect_funnel(
     else:
         # The flag follows the band that is shown; an uncertain point is no anomaly.
         scored = l1.withColumn("anomaly", flag_outside(F.col("value"), F.col("lower_bound"), F.col("upper_bound")))
-    shown = rows.where(~checked).select(
-        "series_id", "ts", "value", F.col("value").alias("baseline"),
-        F.lit(None).cast("double").alias("lower_bound"), F.lit(None).cast("double").alias("upper_bound"),
-        F.lit(0).alias("anomaly"),
-    )
-    result = scored.select(*RESULT).unionByName(shown)
+    shown = rows.where(~checked).select("series_id", "ts", "value", F.col("value").alias("baseline"), F.lit(0).alias("anomaly"))
+    return scored.select(*L1_COLUMNS, "anomaly").unionByName(shown, allowMissingColumns=True)
+
+
+def detect_funnel(
+    current: DataFrame,
+    history: DataFrame,
+    options: FunnelOptions = FunnelOptions(),
+    stored: tuple[DataFrame, DataFrame] | None = None,
+    alerted: DataFrame | None = None,
+) -> DataFrame:
+    """Flags and bands for the current points of every series.
+
+    `stored` is a saved profile `(meta, samples)`; without it one is built from history.
+    """
+    meta, samples = stored or profile.build_profile(history, options)
+    clean = profile.without_points(samples, current) if stored else samples
+    result = score(current, history, meta, clean, l1_methods(history), options).select(*RESULT)
     if options.effective_alert_mode == "latest_only":
         result = cut_lineage(result)  # read twice: for the newest alert and for the rows
     return shape_alerts(result, options.effective_alert_mode, alerted)

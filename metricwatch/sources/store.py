@@ -1,4 +1,8 @@
-"""Saved profiles and models as Parquet tables under a key."""
+"""Saved profiles and models as Parquet tables under a key.
+
+Models are small and written whole, in versions. A profile is dealt to parts by a hash of the
+series; taking in a batch rewrites the parts of the batch's series and leaves the others alone.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ import hashlib
 import json
 from dataclasses import asdict, is_dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FORMAT_VERSION = 1
@@ -18,11 +22,20 @@ def model_key(options: object, series: str = "") -> str:
     return hashlib.sha256(json.dumps([body, series], sort_keys=True, default=str).encode()).hexdigest()
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
 
 
+def names_below(spark: SparkSession, path: str, start: str = "") -> list[str]:
+    """Names in a folder that begin with `start`; none if the folder does not exist."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(jpath):
+        return []
+    return sorted(n for s in fs.listStatus(jpath) if (n := s.getPath().getName()).startswith(start))
+
+
 def _current(spark: SparkSession, root: str, key: str) -> int:
     """Newest complete version under the key, -1 if there is none."""
     jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{key}")
@@ -30,7 +43,7 @@ def _current(spark: SparkSession, root: str, key: str) -> int:
     if not fs.exists(jpath):
         return -1
     names = [s.getPath().getName() for s in fs.listStatus(jpath)]
-    found = [int(n[2:]) for n in names if n.startswith("v=") and _exists(spark, f"{root}/{key}/{n}/DONE")]
+    found = [int(n[2:]) for n in names if n.startswith("v=") and exists(spark, f"{root}/{key}/{n}/DONE")]
     return max(found, default=-1)
 
 
@@ -69,3 +82,35 @@ def load_tables(spark: SparkSession, root: str, key: str, *names: str) -> tuple[
 def delete_tables(spark: SparkSession, root: str, key: str) -> bool:
     jpath = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{key}")
     return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+PARTS = 256  # of a profile; a batch rewrites those that hold one of its series
+FILES = 4  # tasks that write one part
+
+
+def part_of(parts: int) -> Column:
+    return F.pmod(F.xxhash64("series_id"), F.lit(parts)).cast("int")
+
+
+def save_parts(root: str, key: str, parts: int = PARTS, **tables: DataFrame) -> None:
+    """Write tables with a `series_id` by parts; parts that none of the rows belong to stay as they are.
+
+    Writing the same rows again gives the same table, so a step that failed half-way is run again.
+    """
+    for name, table in tables.items():
+        spread = F.pmod(F.xxhash64(*[c for c in ("series_id", "ts") if c in table.columns]), F.lit(FILES))
+        rows = table.withColumn("part", part_of(parts)).withColumn("_file", spread).repartition("part", "_file").drop("_file")
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{root}/{key}/{name}")
+
+
+def parts_with(series: DataFrame, parts: int = PARTS) -> list[int]:
+    """The parts that hold a series of the table: at most `parts` numbers."""
+    return sorted(r[0] for r in series.select(part_of(parts)).distinct().collect())
+
+
+def load_parts(spark: SparkSession, root: str, key: str, *names: str, only: list[int] | None = None) -> tuple[DataFrame, ...] | None:
+    """The named tables, or only the given parts of them; None if one was never written."""
+    if not all(names_below(spark, f"{root}/{key}/{name}", "part=") for name in names):
+        return None
+    tables = [spark.read.parquet(f"{root}/{key}/{name}") for name in names]
+    return tuple((t if only is None else t.where(F.col("part").isin(only))).drop("part") for t in tables)

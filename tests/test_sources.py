@@ -62,7 +62,7 @@ def test_stream_equals_batch_and_learns_once(spark, tmp_path, points):
     got = {r["ts"]: (r["anomaly"], round(r["upper_bound"], 6)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     want = {r["ts"]: (r["anomaly"], round(r["upper_bound"], 6)) for r in funnel.detect_funnel(batch.drop("event_id"), history, options).collect()}
     assert got == want and sum(a for a, _ in got.values()) == 1
-    meta, samples = store.load_tables(spark, root, "p", "meta", "samples")
+    meta, samples = store.load_parts(spark, root, "p", "meta", "samples")
     assert meta.first()["last_seen_ts"] == 10 * 86_400 + 59 * 600
     assert samples.where(F.col("ts") >= 10 * 86_400).count() == 59  # all but the anomaly
     again = profile.refresh_profile(meta, samples, batch.drop("event_id"), batch.where("value = 900"), options)[1]
