@@ -2,7 +2,9 @@
 
 Spark reduces each bucket to its distinct values with counts before the shuffle; a task then
 sees one bucket's counts as arrays. One sample per second, the slot width and the lookback
-bound a bucket (90 days of hour slots: 324,000 samples, 5 MB).
+bound a seasonal bucket (90 days of hour slots: 324,000 samples, 5 MB). A bucket with more than
+LARGE different values (a series without a season has a single one) is never gathered: all large
+buckets go through rounds of exact quantiles together, and leave when they are settled.
 """
 
 from __future__ import annotations
@@ -14,7 +16,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricwatch.operators.quantiles import MAD_SIGMA
+from metricwatch.operators.joins import attach
+from metricwatch.operators.quantiles import MAD_SIGMA, median_mad
+from metricwatch.session import cut_lineage
+
+LARGE = 400_000  # different values of a bucket up to which it is handled in one task
 
 
 def value_counts(samples: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -58,6 +64,37 @@ def _sorted(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return v[order], c[order]
 
 
+def _split(samples: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """Value counts of the buckets that fit a task, and the samples of the others, if there are any."""
+    counts = cut_lineage(value_counts(samples, keys))
+    large = cut_lineage(counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_kinds")).where(F.col("_kinds") > LARGE).select(*keys))
+    if large.isEmpty():
+        return counts, None
+    known = samples.where(F.col("value").isNotNull()).select(*keys, "value")
+    return counts.join(large, keys, "left_anti"), cut_lineage(attach(known, large, keys, "inner", "value"))
+
+
+def _settled_ranges(samples: DataFrame, k: float, min_samples: int, keys: list[str]) -> DataFrame:
+    """`keep_ranges` of buckets of any size: each round narrows all open ones; what a round keeps is an interval."""
+    state = cut_lineage(samples.groupBy(*keys).agg(F.min("value").alias("keep_from"), F.max("value").alias("keep_to")))
+    done = None
+    while True:
+        inside = F.col("value").between(F.col("keep_from"), F.col("keep_to"))
+        rows = cut_lineage(attach(samples, state, keys, "inner", "value").where(inside))
+        stats = median_mad(rows, keys)
+        near = F.abs(F.col("value") - F.col("median")) <= F.lit(float(k)) * F.col("scale")
+        kept = F.when(near, F.col("value"))
+        judged = attach(rows, stats, keys, "inner", "value").groupBy(*keys, "n", "keep_from", "keep_to").agg(
+            F.count(kept).alias("_kept"), F.min(kept).alias("_from"), F.max(kept).alias("_to"))
+        settled = (F.col("n") <= min_samples) | (F.col("_kept") == F.col("n")) | (F.col("_kept") < min_samples)
+        judged = cut_lineage(judged.withColumn("_settled", settled))
+        closed = judged.where("_settled").select(*keys, "keep_from", "keep_to")
+        done = closed if done is None else done.unionByName(closed)
+        state = judged.where("NOT _settled").select(*keys, F.col("_from").alias("keep_from"), F.col("_to").alias("keep_to"))
+        if state.isEmpty():
+            return done
+
+
 def keep_ranges(samples: DataFrame, k: float, min_samples: int, keys: Sequence[str] = ("series_id", "bucket")) -> DataFrame:
     """The value range of each bucket that survives scrubbing."""
     keys = list(keys)
@@ -68,9 +105,10 @@ def keep_ranges(samples: DataFrame, k: float, min_samples: int, keys: Sequence[s
         out["keep_from"], out["keep_to"] = v[0], v[-1]
         return out
 
-    counts = value_counts(samples, keys)
+    counts, large = _split(samples, keys)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select(*keys).schema.fields)
-    return counts.groupBy(*keys).applyInPandas(one, f"{kinds}, keep_from double, keep_to double")
+    ranges = counts.groupBy(*keys).applyInPandas(one, f"{kinds}, keep_from double, keep_to double")
+    return ranges if large is None else ranges.unionByName(_settled_ranges(large, k, min_samples, keys))
 
 
 def bucket_stats(samples: DataFrame, k: float, min_samples: int, keys: Sequence[str] = ("series_id", "bucket")) -> DataFrame:
@@ -97,9 +135,23 @@ def bucket_stats(samples: DataFrame, k: float, min_samples: int, keys: Sequence[
         out["median"], out["scale"], out["mean"], out["std"] = med, scale, mean, var ** 0.5
         return out
 
-    counts = value_counts(samples, keys)
+    counts, large = _split(samples, keys)
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in counts.select(*keys).schema.fields)
     stats = counts.groupBy(*keys).applyInPandas(
         one, f"{kinds}, count long, median double, scale double, mean double, std double"
     )
-    return stats.select(*keys, "count", *[F.nanvl(c, F.lit(None)).alias(c) for c in ("median", "scale", "mean", "std")])
+    stats = stats.select(*keys, "count", *[F.nanvl(c, F.lit(None)).alias(c) for c in ("median", "scale", "mean", "std")])
+    return stats if large is None else stats.unionByName(_stats_of_large(large, k, min_samples, keys))
+
+
+def _stats_of_large(samples: DataFrame, k: float, min_samples: int, keys: list[str]) -> DataFrame:
+    """`bucket_stats` of buckets of any size."""
+    whole = median_mad(samples, keys)
+    near = F.abs(F.col("value") - F.col("median")) <= F.lit(float(k)) * F.col("scale")
+    inliers = attach(samples, whole, keys, "inner", "value").where(near).select(*samples.columns)
+    clean = median_mad(inliers, keys).select(*keys, F.col("n").alias("_n"), F.col("median").alias("_median"), F.col("scale").alias("_scale"))
+    moments = samples.groupBy(*keys).agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+    wide = moments.join(whole, keys).join(clean, keys, "left")
+    enough, cleaned = F.col("count") >= min_samples, F.coalesce(F.col("_n") >= 3, F.lit(False))
+    pick = lambda name: F.when(cleaned, F.col(f"_{name}")).otherwise(F.col(name))
+    return wide.select(*keys, "count", *[F.when(enough, c).alias(n) for n, c in (("median", pick("median")), ("scale", pick("scale")), ("mean", F.col("mean")), ("std", F.col("std")))])

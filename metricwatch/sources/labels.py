@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metricwatch.operators.joins import attach
@@ -40,21 +40,36 @@ def read_raw_csv(spark: SparkSession, path: str, series: str | None = None) -> D
     ).na.drop()
 
 
+def merged_windows(windows: DataFrame) -> DataFrame:
+    """Closed windows `series_id, start_ts, end_ts` with those that touch or overlap made one.
+
+    A window opens a new stretch where it starts behind the largest end of all windows before it.
+    Windows without both ends, or that end before they start, hold nothing.
+    """
+    known = windows.where(F.col("start_ts") <= F.col("end_ts")).select("series_id", F.col("start_ts").cast("long").alias("start_ts"), F.col("end_ts").cast("long").alias("end_ts"))
+    before = Window.partitionBy("series_id").orderBy("start_ts", "end_ts").rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.coalesce(F.col("start_ts") > F.max("end_ts").over(before) + 1, F.lit(True)).cast("int")
+    numbered = known.withColumn("_opens", opens).withColumn("_stretch", F.sum("_opens").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy("series_id", "_stretch").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts")).drop("_stretch")
+
+
 def label_by_windows(points: DataFrame, windows: DataFrame) -> DataFrame:
     """Add `label`: 1 inside any closed window `series_id, start_ts, end_ts`.
 
-    Windows are cut into days, so the join is on series and day instead of a comparison of
-    every point with every window.
+    Overlapping windows are merged first. Each stretch of time (a day) then knows, per series, the
+    windows inside it in order, disjoint; a point meets the one that starts last before it, by a
+    running maximum over windows and points of its stretch. So a point never meets more than one
+    window, and a long window is one row a day.
     """
-    day = F.floor(F.col("ts") / STRETCH)
-    days = windows.select(
-        "series_id", "start_ts", "end_ts",
-        F.explode(F.sequence(F.floor(F.col("start_ts") / STRETCH), F.floor(F.col("end_ts") / STRETCH))).alias("_day"),
-    )
-    inside = points.withColumn("_day", day).join(days, ["series_id", "_day"]).where(
-        F.col("ts").between(F.col("start_ts"), F.col("end_ts"))
-    ).select("series_id", "ts").distinct()
-    return label_by_points(points, inside)
+    day = lambda ts: F.floor(F.col(ts) / STRETCH)
+    pieces = merged_windows(windows).withColumn("_day", F.explode(F.sequence(day("start_ts"), day("end_ts")))).select(
+        "series_id", "_day", F.greatest("start_ts", F.col("_day") * STRETCH).alias("ts"), F.struct("start_ts", "end_ts").alias("_window"))
+    both = points.withColumn("_day", day("ts")).withColumn("_point", F.lit(1)).unionByName(pieces.withColumn("_point", F.lit(0)), allowMissingColumns=True)
+    # points are unique by second, so a stretch holds at most a day of them and its windows
+    upto = Window.partitionBy("series_id", "_day").orderBy("ts", "_point").rowsBetween(Window.unboundedPreceding, 0)
+    met = F.max("_window").over(upto)
+    label = F.coalesce((F.col("ts") <= met["end_ts"]).cast("int"), F.lit(0))
+    return both.withColumn("label", label).where("_point = 1").select(*points.columns, "label")
 
 
 def label_by_points(points: DataFrame, marks: DataFrame) -> DataFrame:
