@@ -64,20 +64,24 @@ def repeated_windows(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     shared = opened(several)
     # equal paths are one; its first document owns it
     paths = stored(shared.groupBy("anchor", "digest", "n").agg(F.min(F.struct("rank", "key", "start")).alias("first")))
-    later = shared.join(paths.select("anchor", "digest", "n", F.col("first.rank").alias("owner")), ["anchor", "digest", "n"]).where("owner < rank")
     # where different paths share an anchor, the owners' paths are taken apart
     branching = stored(paths.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor"))
     owners = stored(paths.join(branching, "anchor", "left_semi").select("anchor", "digest", "n", "first.key", "first.start"))
     release(branching)
     edges = stored(_edges(rows, owners, window))
     release(owners)
+    later = stored(
+        shared.join(paths.select("anchor", "digest", "n", F.col("first.rank").alias("owner")), ["anchor", "digest", "n"]).where("owner < rank").select("key", "start", "n"))
+    release(paths)
     firsts = edges.groupBy("anchor", "edge").agg(F.min("rank").alias("owner"), F.max("rank").alias("latest")).where("owner < latest")
-    old = edges.join(firsts, ["anchor", "edge"]).where("owner < rank").select("anchor", "digest", "n", "rank", "at")
+    old = stored(edges.join(firsts, ["anchor", "edge"]).where("owner < rank").select("anchor", "digest", "n", "rank", "at"))
+    release(edges)
     # a path may come several times in its first document
-    single = shared.join(old, ["anchor", "digest", "n", "rank"]).select("key", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n"))
+    single = stored(shared.join(old, ["anchor", "digest", "n", "rank"]).select("key", (F.col("start") + F.col("at")).alias("start"), F.lit(1).alias("n")))
+    release(several, old)
     gone = later.select("key", "start", "n").union(single).distinct().groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("gone"))  # bounded by the text
     gone = stored(gone)
-    release(several, paths, edges)
+    release(later, single)
     return gone
 
 
