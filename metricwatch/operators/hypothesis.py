@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +27,7 @@ KPSS_TABLE = (
     (0.05, 0.99), (0.1, 0.9), (0.2, 0.7), (0.3, 0.2), (0.347, 0.1), (0.4, 0.07), (0.463, 0.05),
     (0.574, 0.025), (0.739, 0.01), (1.0, 0.003), (1.5, 0.0005), (2.0, 0.0001),
 )
+DIGIT_BITS, DIGITS = 8, 256  # digits in which ranks are compared
 KPSS_LAGS = 1_024  # the bandwidth rule reaches this at 6e12 rows
 
 
@@ -121,42 +127,108 @@ def value_ranks(indexed: DataFrame, value: str = "value", cuts: int = 256) -> Da
     return attach(indexed, ranked.select("series_id", value, "rank"), ["series_id", value], "inner", "rn")
 
 
-def mann_kendall(indexed: DataFrame, value: str = "value") -> DataFrame:
-    """Sign sum over all ordered pairs, its z score, p-value and direction.
+def later_signs(group: np.ndarray, rank: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Per row its weight times the summed weight of earlier rows of its group, smaller ranks minus larger ones.
 
-    Pairs are never formed. Two ranks first differ at one bit; grouping rows by the bits above
-    it, the pairs that differ there are counted with running counts of zeros and ones in time
-    order. That is n·log(n) rows, cut into blocks of equal size.
+    Two ranks first differ at one bit; among rows that share the bits above it, running sums of the
+    zeros and ones before a row count its pairs at that bit.
     """
-    ranked = value_ranks(indexed, value)
-    top = ranked.groupBy("series_id").agg(F.max("rank").alias("_top"), F.count(F.lit(1)).alias("n"))
-    bits = F.greatest(F.ceil(F.log2(F.col("_top") + 1)), F.lit(1)).cast("int")
-    wide = attach(ranked.select("series_id", "rn", "rank"), top, spread_by="rn").select(
-        "series_id", "rn", "rank", F.explode(F.sequence(F.lit(0), bits - 1)).alias("bit")
-    )
-    rows = wide.select(
-        "series_id", "bit", "rn", F.expr("shiftright(rank, bit + 1)").alias("prefix"),
-        F.expr("shiftright(rank, bit) & 1").cast("long").alias("one"),
-        F.floor(F.col("rn") / BLOCK_ROWS).alias("_block"),
-    )
-    cell = ["series_id", "bit", "prefix"]
-    before = Window.partitionBy(*cell, "_block").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
-    ones = F.coalesce(F.sum("one").over(before), F.lit(0))
-    seen = F.row_number().over(Window.partitionBy(*cell, "_block").orderBy("rn")) - 1
-    local = rows.withColumn("_sign", F.when(F.col("one") == 1, seen - ones).otherwise(-ones))
-    blocks = local.groupBy(*cell, "_block").agg(
-        F.sum("_sign").alias("_inside"), F.sum("one").alias("_ones"), F.sum(F.lit(1) - F.col("one")).alias("_zeros")
-    )
-    earlier = Window.partitionBy(*cell).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    across = F.coalesce(F.sum("_zeros").over(earlier), F.lit(0)) * F.col("_ones") - F.coalesce(
-        F.sum("_ones").over(earlier), F.lit(0)
-    ) * F.col("_zeros")
-    signs = blocks.withColumn("_s", F.col("_inside") + across).groupBy("series_id").agg(F.sum("_s").alias("s"))
+    out = np.zeros(len(rank), np.int64)
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        high = rank >> (bit + 1)
+        # one key per group and higher bits, kept in the order of arrival
+        order = np.lexsort((high, group)) if group.any() else np.argsort(high, kind="stable")
+        g, h, w = group[order], high[order], weight[order]
+        one = (rank[order] >> bit) & 1
+        fresh = np.r_[True, (g[1:] != g[:-1]) | (h[1:] != h[:-1])]
+        first = np.maximum.accumulate(np.where(fresh, np.arange(len(g)), 0))
+        ones, zeros = (np.r_[0, np.cumsum(w * x)] for x in (one, 1 - one))
+        at = np.arange(len(g))
+        out[order] += w * np.where(one == 1, zeros[at] - zeros[first], ones[first] - ones[at])
+    return out
+
+
+def _signs_inside(block: pd.DataFrame) -> pd.DataFrame:
+    """The sign sum over the pairs of one block of rows."""
+    block = block.sort_values("rn")
+    rank = np.unique(block["rank"].to_numpy(), return_inverse=True)[1].astype(np.int64)
+    ones = np.ones(len(rank), np.int64)
+    s = int(later_signs(np.zeros(len(rank), np.int64), rank, ones).sum())
+    return pd.DataFrame({"series_id": [block["series_id"].iloc[0]], "s": [s]})
+
+
+CELL = ["series_id", "level", "prefix"]
+
+
+def _signs_across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sign sums over pairs of different blocks, from counts `CELL, block, digit, c` in that order.
+
+    A cell goes on in the next batch with one count per digit; the rows of a block cut by a batch wait for its rest.
+    """
+    waiting, cell_before, seen = None, None, np.zeros(DIGITS, np.int64)
+    for batch in chain(batches, [None]):
+        rows = waiting if batch is None else batch if waiting is None else pd.concat([waiting, batch], ignore_index=True)
+        if rows is None or not len(rows):
+            continue
+        fresh = (rows[[*CELL, "block"]] != rows[[*CELL, "block"]].shift()).any(axis=1).to_numpy()
+        if batch is not None:
+            cut = int(np.flatnonzero(fresh)[-1])
+            waiting, rows, fresh = rows.iloc[cut:], rows.iloc[:cut], fresh[:cut]
+        if not len(rows):
+            continue
+        fresh[0] = True
+        cell = np.cumsum((rows[CELL] != rows[CELL].shift()).any(axis=1).to_numpy()) - 1
+        digit, c = rows["digit"].to_numpy(np.int64), rows["c"].to_numpy(np.int64)
+        s = later_signs(cell, digit, c)
+        starts = np.flatnonzero(fresh)  # digits rise within a block: its own pairs were all counted as rising
+        same = (np.add.reduceat(c, starts) ** 2 - np.add.reduceat(c * c, starts)) // 2
+        s[starts] -= same
+        name = tuple(rows[CELL].iloc[0])
+        if name == cell_before:
+            mine = cell == 0
+            less = np.r_[0, np.cumsum(seen)]
+            s[mine] += c[mine] * (less[digit[mine]] - (less[-1] - less[digit[mine] + 1]))
+        last = cell == cell[-1]
+        if cell[-1] or name != cell_before:
+            seen = np.zeros(DIGITS, np.int64)
+        np.add.at(seen, digit[last], c[last])
+        cell_before = tuple(rows[CELL].iloc[-1])
+        sums = pd.DataFrame({"series_id": rows["series_id"].to_numpy(), "s": s}).groupby("series_id", as_index=False)["s"].sum()
+        yield sums
+
+
+def sign_sums(ranked: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """`series_id, n, s`: sign sum over all ordered pairs of ranks of each series. Pairs are never formed.
+
+    A series is cut into blocks of `block_rows` rows. Pairs inside a block are counted by the task that
+    holds it. For pairs of different blocks the ranks are read as digits to the base 256: two ranks
+    first differ at one digit, so rows that share the digits above it form a cell, whose counts per
+    block and digit say how many pairs rise or fall there. That is one row per row and digit, at
+    most four below 2^32 different values, and only in series of more than one block; they are added
+    up before the shuffle, and a cell holds at most 256 counts a block.
+    """
+    rows = ranked.select("series_id", "rn", "rank", F.floor(F.col("rn") / block_rows).alias("block"))
+    inside = rows.groupBy("series_id", "block").applyInPandas(_signs_inside, "series_id string, s long")
+    top = rows.groupBy("series_id").agg(F.max("rank").alias("_top"), F.count(F.lit(1)).alias("n"), F.max("block").alias("_last"))
+    levels = F.ceil(F.length(F.bin("_top")) / DIGIT_BITS).cast("int")
+    many = top.where("_last > 0").select("series_id", levels.alias("_levels"))
+    wide = attach(rows, many, how="inner", spread_by="rn").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("_levels") - 1)))
+    digit = F.expr(f"cast(shiftright(rank, level * {DIGIT_BITS}) & {DIGITS - 1} as int)")
+    prefix = F.expr(f"CASE WHEN level + 1 < _levels THEN shiftright(rank, (level + 1) * {DIGIT_BITS}) ELSE 0L END")
+    counts = wide.groupBy("series_id", "level", prefix.alias("prefix"), "block", digit.alias("digit")).agg(F.count(F.lit(1)).alias("c"))
+    across = counts.repartition(*CELL).sortWithinPartitions(*CELL, "block", "digit").mapInPandas(_signs_across, "series_id string, s long")
+    signs = inside.unionByName(across).groupBy("series_id").agg(F.sum("s").alias("s"))
+    return top.select("series_id", "n").join(signs, "series_id")
+
+
+def mann_kendall(indexed: DataFrame, value: str = "value", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Sign sum over all ordered pairs, its z score, p-value and direction."""
+    signs = sign_sums(value_ranks(indexed, value), block_rows)
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n - 1) * (n * 2 + 5) / 18)
     z = F.when(F.col("s") > 0, (F.col("s") - 1) / spread).when(F.col("s") < 0, (F.col("s") + 1) / spread).otherwise(F.lit(0.0))
     return (
-        signs.join(top, "series_id").withColumn("z", z)
+        signs.withColumn("z", z)
         .withColumn("p_value", F.lit(2.0) * (F.lit(1.0) - normal_cdf(F.abs("z"))))
         .select("series_id", "n", "s", "z", "p_value", F.signum("s").cast("int").alias("direction"))
     )

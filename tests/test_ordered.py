@@ -96,9 +96,27 @@ def test_lag_products_in_small_blocks(points, walk):
             assert pairs == max(len(v) - lag, 0)
 
 
-def test_mann_kendall_against_all_pairs(points, walk, monkeypatch):
-    monkeypatch.setattr(hypothesis, "BLOCK_ROWS", 16)
-    found = {r["series_id"]: r["s"] for r in hypothesis.mann_kendall(row_index(points(walk))).collect()}
+def sign_sum(v):
+    return int(np.sign(v[None, :] - v[:, None])[np.triu_indices(len(v), 1)].sum())
+
+
+@pytest.mark.parametrize("batch", [7, 10_000])
+def test_sign_sums_over_several_digits_with_ties(spark, points, batch):
+    """More than 65,536 different ranks would be slow to check: ranks are given, up to three digits wide."""
+    rng = np.random.default_rng(5)
+    series = {"wide": rng.integers(0, 1 << 20, 1_500), "ties": rng.integers(0, 3, 900), "low": rng.integers(0, 300, 900) // 2,
+              "rising": np.arange(600), "falling": np.arange(600)[::-1] * 70_000, "equal": np.zeros(50, int), "one": np.array([4])}
+    rows = spark.createDataFrame([(s, i, int(v)) for s, vs in series.items() for i, v in enumerate(vs)], "series_id string, rn long, rank long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        found = {r["series_id"]: (r["n"], r["s"]) for r in hypothesis.sign_sums(rows, block_rows=64).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found == {s: (len(v), sign_sum(v)) for s, v in series.items()}
+
+
+def test_mann_kendall_against_all_pairs(points, walk):
+    found = {r["series_id"]: r["s"] for r in hypothesis.mann_kendall(row_index(points(walk)), block_rows=16).collect()}
     for series in ("hot", "cold", "one"):
         v = values(walk, series)
         assert found[series] == int(np.sign(v[None, :] - v[:, None])[np.triu_indices(len(v), 1)].sum())
