@@ -1,17 +1,21 @@
 """Extended isolation forest: one forest per series, grown and applied in parallel.
 
-A tree is grown from its own sample of a series (one task per tree), a score needs only a
-block of rows and the forest of their series. Every random choice comes from a hash or a seeded
-generator, so a lost task gives the same result when it runs again.
+A tree is grown from its own sample of a series. Nodes of more than TASK_ROWS rows are split a
+level at a time, all trees of all series together: a grouping gives each node its box, the node
+draws a cut, a join sends its rows to one side. Smaller nodes are finished by one task each. A
+score needs a block of rows and some of the trees of their series. Every random choice comes from
+a hash or a seeded generator, so a lost task gives the same result when it runs again.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricwatch.operators.features import (
@@ -20,13 +24,18 @@ from metricwatch.operators.features import (
 from metricwatch.operators.joins import attach
 from metricwatch.operators.ordered import BLOCK_ROWS
 from metricwatch.options import OutlierOptions
+from metricwatch.session import cut_lineage
 
 SAMPLE_SHARE = 0.1
+TASK_ROWS = BLOCK_ROWS  # rows of a node that one task finishes
+TASK_NODES = 1 << 19  # nodes of the trees that a scoring task holds, up to its last tree
+LOCAL_BITS = 20  # a task's subtree has fewer than 2 * TASK_ROWS nodes
 EULER = 0.5772156649015329
 NODE_SCHEMA = (
-    "series_id string, tree int, node int, left int, right int, size long, depth int, "
+    "series_id string, tree int, node long, left long, right long, size long, depth int, "
     "normal array<double>, intercept double, sample long"
 )
+NODE = ["series_id", "tree", "root"]
 
 
 def average_path(n: np.ndarray) -> np.ndarray:
@@ -57,10 +66,21 @@ def tree_samples(rows: DataFrame, options: OutlierOptions) -> DataFrame:
     return wide.withColumn("tree", tree).where(F.col("tree") < options.n_trees).select("series_id", "tree", "ts", *FOREST_FEATURES)
 
 
-def grow_tree(x: np.ndarray, rng: np.random.Generator, level: int, max_depth: int | None) -> list[tuple]:
-    """Nodes of one tree: (node, left, right, size, depth, normal, intercept), leaves with left -1."""
-    depth_limit = max_depth if max_depth is not None else int(np.ceil(np.log2(max(len(x), 2))))
-    nodes, open_nodes, made = [], [(0, np.arange(len(x)), 0)], 1
+def draw_cut(low: np.ndarray, high: np.ndarray, rng: np.random.Generator, level: int) -> tuple[np.ndarray, float]:
+    """A random direction over `level + 1` of the features, and where it cuts the box."""
+    normal = rng.normal(size=len(low))
+    normal[rng.permutation(len(low))[: len(low) - level - 1]] = 0.0
+    return normal, float(normal @ rng.uniform(low, high))
+
+
+def generator(seed: int, series: str, tree: int, root: int) -> np.random.Generator:
+    own = [seed, tree, zlib.crc32(series.encode())]
+    return np.random.default_rng([*own, root] if root else own)
+
+
+def grow_tree(x: np.ndarray, rng: np.random.Generator, level: int, depth_limit: int, depth: int = 0) -> list[tuple]:
+    """Nodes of a (sub)tree: (node, left, right, size, depth, normal, intercept), leaves with left -1."""
+    nodes, open_nodes, made = [], [(0, np.arange(len(x)), depth)], 1
     while open_nodes:
         node, members, depth = open_nodes.pop()
         box = x[members]
@@ -68,9 +88,7 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, level: int, max_depth: in
         if len(members) <= 1 or depth >= depth_limit or np.all(low == high):
             nodes.append((node, -1, -1, len(members), depth, [0.0] * x.shape[1], 0.0))
             continue
-        normal = rng.normal(size=x.shape[1])
-        normal[rng.permutation(x.shape[1])[: x.shape[1] - level - 1]] = 0.0
-        at = float(normal @ rng.uniform(low, high))
+        normal, at = draw_cut(low, high, rng, level)
         below = box @ normal <= at
         nodes.append((node, made, made + 1, len(members), depth, normal.tolist(), at))
         if below.all() or not below.any():
@@ -81,28 +99,111 @@ def grow_tree(x: np.ndarray, rng: np.random.Generator, level: int, max_depth: in
     return nodes
 
 
-def train_forest(rows: DataFrame, options: OutlierOptions = OutlierOptions()) -> DataFrame:
-    """Node table of all trees of all series; `rows` carry standardised forest features."""
+def split_large(rows: DataFrame, seed: int, level: int, task_rows: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Split nodes of more than `task_rows` rows level by level: node tables, and the rows of what is left.
+
+    `rows` carry `series_id, tree, root, sample, limit` and the features; what is left has at most
+    `task_rows` rows a (tree, root), with the `depth` of its root. A node at the depth limit, of equal
+    rows, or whose cut leaves a side empty is a leaf, as in `grow_tree`.
+    """
+    lows, highs = [f"low_{f}" for f in FOREST_FEATURES], [f"high_{f}" for f in FOREST_FEATURES]
+    nodes: list[DataFrame] = []
+    rest: list[DataFrame] = []
+    made = rows.select("series_id", "tree").distinct().withColumn("made", F.lit(1).cast("long"))
+    rows, depth = cut_lineage(rows), 0
+    leaf = [F.lit(-1).cast("long").alias("left"), F.lit(-1).cast("long").alias("right")]
+    flat = [F.array(*[F.lit(0.0) for _ in FOREST_FEATURES]).alias("normal"), F.lit(0.0).alias("intercept")]
+    name = [F.col("series_id"), F.col("tree"), F.shiftleft("root", LOCAL_BITS).alias("node")]
+
+    def cuts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            drawn = [draw_cut(lo, hi, generator(seed, s, int(t), int(r) + (1 << 40)), level) for s, t, r, lo, hi in zip(
+                batch["series_id"], batch["tree"], batch["root"], batch[lows].to_numpy(float), batch[highs].to_numpy(float))]
+            out = batch[[*NODE, "n"]].copy()
+            out["normal"], out["intercept"] = [n.tolist() for n, _ in drawn], [at for _, at in drawn]
+            yield out
+
+    while True:
+        ends = [f(c).alias(f"{side}_{c}") for side, f in (("low", F.min), ("high", F.max)) for c in FOREST_FEATURES]
+        boxes = cut_lineage(rows.groupBy(*NODE).agg(
+            F.count(F.lit(1)).alias("n"), F.first("sample").alias("sample"), F.first("limit").alias("limit"), *ends))
+        same = reduce(lambda x, y: x & y, [F.col(a) == F.col(b) for a, b in zip(lows, highs)])
+        large = boxes.where(F.col("n") > task_rows).withColumn("_leaf", same | (F.col("limit") <= depth))
+        rest.append(attach(rows, boxes.where(F.col("n") <= task_rows).select(*NODE), NODE, "inner").withColumn("depth", F.lit(depth)))
+        leaves = lambda df: df.select(*name, *leaf, F.col("n").alias("size"), F.lit(depth).alias("depth"), *flat, "sample")
+        nodes.append(leaves(large.where("_leaf")))
+        drawn = cut_lineage(large.where(~F.col("_leaf")).mapInPandas(
+            cuts, "series_id string, tree int, root long, n long, normal array<double>, intercept double"))
+        if drawn.isEmpty():
+            return nodes, rest
+        side = reduce(lambda x, y: x + y, [F.col(f) * F.col("normal")[i] for i, f in enumerate(FOREST_FEATURES)])
+        moved = cut_lineage(attach(rows, drawn.drop("n"), NODE, "inner").withColumn("_below", side <= F.col("intercept")).drop("normal", "intercept"))
+        both = moved.groupBy(*NODE).agg(F.count_if("_below").alias("_under"), F.first("sample").alias("sample")).join(drawn, NODE)
+        halved = (F.col("_under") > 0) & (F.col("_under") < F.col("n"))
+        nodes.append(leaves(both.where(~halved)))
+        tree = Window.partitionBy("series_id", "tree")
+        place = F.row_number().over(tree.orderBy("root")) - 1
+        numbered = cut_lineage(both.where(halved).join(made, ["series_id", "tree"]).select(
+            "*", (F.col("made") + 2 * place).alias("_first"), (F.col("made") + 2 * F.count(F.lit(1)).over(tree)).alias("_next")))
+        nodes.append(numbered.select(
+            *name, F.shiftleft("_first", LOCAL_BITS).alias("left"), F.shiftleft(F.col("_first") + 1, LOCAL_BITS).alias("right"),
+            F.col("n").alias("size"), F.lit(depth).alias("depth"), "normal", "intercept", "sample"))
+        made = numbered.groupBy("series_id", "tree").agg(F.first("_next").alias("made"))
+        child = F.col("_first") + F.when(F.col("_below"), 0).otherwise(1)
+        rows = cut_lineage(attach(moved, numbered.select(*NODE, "_first"), NODE, "inner").withColumn("root", child).drop("_below", "_first"))
+        depth += 1
+
+
+def train_forest(rows: DataFrame, options: OutlierOptions = OutlierOptions(), task_rows: int = TASK_ROWS) -> DataFrame:
+    """Node table of all trees of all series; `rows` carry standardised forest features.
+
+    The children of a node are named by their `node` number. Trees of up to `task_rows` rows take one
+    task each; larger ones are split level by level until what is left is that small.
+    """
     dims = len(FOREST_FEATURES)
     level = dims - 1 if options.extension_level is None else min(options.extension_level, dims - 1)
-    seed, depth = options.seed, options.max_tree_depth
+    seed, given = options.seed, options.max_tree_depth
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("ts")
-        series, tree = group["series_id"].iloc[0], int(group["tree"].iloc[0])
-        rng = np.random.default_rng([seed, tree, zlib.crc32(series.encode())])
-        nodes = grow_tree(group[list(FOREST_FEATURES)].to_numpy(float), rng, level, depth)
-        out = pd.DataFrame(nodes, columns=["node", "left", "right", "size", "depth", "normal", "intercept"])
-        out["series_id"], out["tree"], out["sample"] = series, tree, len(group)
+        series, tree, root = group["series_id"].iloc[0], int(group["tree"].iloc[0]), int(group["root"].iloc[0])
+        sample = int(group["sample"].iloc[0]) or len(group)  # zero: the group is the whole sample
+        limit = given if given is not None else int(np.ceil(np.log2(max(sample, 2))))
+        grown = grow_tree(group[list(FOREST_FEATURES)].to_numpy(float), generator(seed, series, tree, root), level, limit, int(group["depth"].iloc[0]))
+        out = pd.DataFrame(grown, columns=["node", "left", "right", "size", "depth", "normal", "intercept"])
+        first = root << LOCAL_BITS
+        out["node"] += first
+        for c in ("left", "right"):
+            out[c] = np.where(out[c] < 0, -1, out[c] + first)
+        out["series_id"], out["tree"], out["sample"] = series, tree, sample
         return out[["series_id", "tree", "node", "left", "right", "size", "depth", "normal", "intercept", "sample"]]
 
-    return tree_samples(rows, options).groupBy("series_id", "tree").applyInPandas(one, NODE_SCHEMA)
+    samples = tree_samples(rows, options).withColumn("root", F.lit(0).cast("long"))
+    if not has_large_samples(rows, options, task_rows):
+        whole = samples.withColumn("sample", F.lit(0).cast("long")).withColumn("depth", F.lit(0))
+        return whole.groupBy(*NODE).applyInPandas(one, NODE_SCHEMA)
+    sizes = samples.groupBy("series_id", "tree").agg(F.count(F.lit(1)).alias("sample"))
+    limit = F.lit(given) if given is not None else F.ceil(F.log2(F.greatest(F.col("sample"), F.lit(2))))
+    known = attach(samples, sizes.withColumn("limit", limit), ["series_id", "tree"], "inner")
+    nodes, rest = split_large(known, seed, level, task_rows)
+    small = reduce(DataFrame.unionByName, rest).drop("limit").groupBy(*NODE).applyInPandas(one, NODE_SCHEMA)
+    return reduce(DataFrame.unionByName, nodes, small)
+
+
+def has_large_samples(rows: DataFrame, options: OutlierOptions, task_rows: int) -> bool:
+    """Can a tree of some series have more than `task_rows` rows? Decided from row counts: a hash group may be a little larger than its mean."""
+    most = rows.groupBy("series_id").count().agg(F.max("count")).first()[0] or 0
+    mean = options.sample_size or most * SAMPLE_SHARE
+    mean = min(mean, options.max_sample_rows or mean, most)
+    return mean + 8 * mean**0.5 > task_rows and most > task_rows
 
 
 def path_lengths(x: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
     """Path length of each row of `x` in one tree, relative to the tree's expected length."""
     nodes = nodes.sort_values("node")
     left, right, size, depth = (nodes[c].to_numpy() for c in ("left", "right", "size", "depth"))
+    number = nodes["node"].to_numpy()  # ascending, not without gaps
+    left, right = (np.where(c < 0, -1, np.searchsorted(number, c)) for c in (left, right))
     normal, at = np.stack(nodes["normal"].to_numpy()), nodes["intercept"].to_numpy()
     here = np.zeros(len(x), dtype=np.int64)
     active = np.flatnonzero(left[here] >= 0)
@@ -115,15 +216,23 @@ def path_lengths(x: np.ndarray, nodes: pd.DataFrame) -> np.ndarray:
     return (depth[here] + average_path(size[here])) / expected
 
 
-def score_forest(rows: DataFrame, forest: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def score_forest(rows: DataFrame, forest: DataFrame, block_rows: int = BLOCK_ROWS, task_nodes: int = TASK_NODES) -> DataFrame:
     """Anomaly score in (0, 1) of each row under its series' forest: `series_id, ts, rn, score`.
 
-    Rows meet the forest block by block, so a long series is scored by many tasks.
+    Rows meet the forest block by block, so a long series is scored by many tasks. The trees of a
+    series come in stretches of about `task_nodes` nodes; a task holds one block and one stretch, and
+    the path lengths of a row are added up over the stretches.
     """
+    sizes = forest.groupBy("series_id", "tree").agg(F.count(F.lit(1)).alias("_nodes"))
+    before = Window.partitionBy("series_id").orderBy("tree").rowsBetween(Window.unboundedPreceding, 0)
+    stretch = F.floor((F.sum("_nodes").over(before) - F.col("_nodes")) / task_nodes).alias("_stretch")
+    stretches = sizes.select("series_id", "tree", stretch)
+    packed = attach(forest, stretches, ["series_id", "tree"], "inner", spread_by="node")
     blocks = rows.select("series_id", "ts", "rn", *FOREST_FEATURES).withColumn("_block", F.floor(F.col("rn") / block_rows))
-    where = blocks.select("series_id", "_block").distinct()
-    # A forest is at most n_trees trees of one sample each; one copy goes to every block.
-    copies = attach(where, forest, how="inner", spread_by="_block").withColumnsRenamed({"series_id": "_of", "_block": "_at"})
+    blocks = attach(blocks, stretches.groupBy("series_id").agg(F.max("_stretch").alias("_most"))).withColumn(
+        "_stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_most", F.lit(0).cast("long"))))).drop("_most")
+    where = rows.select("series_id", F.floor(F.col("rn") / block_rows).alias("_block")).distinct()
+    copies = attach(where, packed, how="inner", spread_by="_block").withColumnsRenamed({"series_id": "_of", "_block": "_at", "_stretch": "_part"})
 
     def one(points: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         out = points[["series_id", "ts", "rn"]].copy()
@@ -131,12 +240,15 @@ def score_forest(rows: DataFrame, forest: DataFrame, block_rows: int = BLOCK_ROW
         for _, tree in nodes.groupby("tree"):
             total += path_lengths(x, tree)
             trees += 1
-        out["score"] = np.power(2.0, -total / trees) if trees else np.nan
+        out["total"], out["trees"] = total, trees
         return out
 
-    return blocks.groupBy("series_id", "_block").cogroup(copies.groupBy("_of", "_at")).applyInPandas(
-        one, "series_id string, ts long, rn long, score double"
-    )
+    parts = blocks.groupBy("series_id", "_block", "_stretch").cogroup(copies.groupBy("_of", "_at", "_part")).applyInPandas(
+        one, "series_id string, ts long, rn long, total double, trees int")
+    # added in the order of a sorted array: the same double however the parts arrive
+    added = F.aggregate(F.array_sort(F.collect_list("total")), F.lit(0.0), lambda a, x: a + x)
+    return parts.groupBy("series_id", "ts", "rn").agg(added.alias("total"), F.sum("trees").alias("trees")).select(
+        "series_id", "ts", "rn", F.when(F.col("trees") > 0, F.pow(F.lit(2.0), -F.col("total") / F.col("trees"))).alias("score"))
 
 
 def forest_scores(

@@ -129,6 +129,41 @@ def test_forest_is_repeatable_and_finds_a_spike(points):
     assert 250 <= max(fresh, key=fresh.get) <= 255 and fresh[250] > np.quantile(list(fresh.values()), 0.97)
 
 
+def test_large_trees_grow_level_by_level(points, monkeypatch):
+    """Nodes above the bound are split by groupings; the trees are whole and rank planted spikes first."""
+    rng = np.random.default_rng(6)
+    v, w = rng.normal(10, 1, 1_500), rng.normal(0, 1, 30)
+    spikes = {200, 700, 1_200}
+    for i in spikes:
+        v[i] = 90
+    indexed = row_index(points([("long", 60 * i, x) for i, x in enumerate(v)] + [("short", 60 * i, x) for i, x in enumerate(w)] + [("equal", 0, 1.0)]))
+    options, split, seen = OutlierOptions(n_trees=6, sample_size=500), forest.split_large, []
+    monkeypatch.setattr(forest, "split_large", lambda *args: seen.append(split(*args)) or seen[-1])
+    raw = forest.forest_features(indexed)
+    scaled = forest.standardise(raw, forest.feature_scaling(raw)).persist()
+    assert forest.has_large_samples(scaled, options, 150) and not forest.has_large_samples(scaled, options, forest.TASK_ROWS)
+    rows = forest.tree_samples(scaled, options)
+    tree_nodes = forest.train_forest(scaled, options, task_rows=150).persist()
+    left = [r["count"] for part in seen[0][1] for r in part.groupBy(*forest.NODE).count().collect()]
+    assert max(left) <= 150
+
+    made = tree_nodes.toPandas()
+    sizes = rows.groupBy("series_id", "tree").count().collect()
+    for r in sizes:
+        tree = made[(made.series_id == r["series_id"]) & (made.tree == r["tree"])].set_index("node")
+        assert tree[tree.left < 0]["size"].sum() == r["count"] == tree.loc[0, "size"] == tree["sample"].iloc[0]
+        inner = tree[tree.left >= 0]
+        assert tree.index.is_unique and len(tree) == 2 * len(inner) + 1
+        for side in ("left", "right"):
+            assert (tree.loc[inner[side], "depth"].to_numpy() == inner["depth"].to_numpy() + 1).all()
+        assert (tree.loc[inner.left, "size"].to_numpy() + tree.loc[inner.right, "size"].to_numpy() == inner["size"].to_numpy()).all()
+    scores = {(r["series_id"], r["rn"]): r["score"] for r in forest.score_forest(scaled, tree_nodes).collect()}
+    cut = {(r["series_id"], r["rn"]): r["score"] for r in forest.score_forest(scaled, tree_nodes, block_rows=400, task_nodes=100).collect()}
+    assert len(scores) == 1_531 and scores == pytest.approx(cut)
+    best = sorted((rn for s, rn in scores if s == "long"), key=lambda rn: -scores[("long", rn)])[:15]
+    assert all(any(0 <= rn - i <= 5 for i in spikes) for rn in best)
+
+
 def test_trending_and_short_series(points):
     up = [("up", HOUR * i, 0.1 * i + (i % 3) * 0.01) for i in range(100)]
     found = {r["series_id"]: r for r in classify.classify(points(up + [("tiny", i, i) for i in range(5)])).collect()}
