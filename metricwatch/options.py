@@ -129,11 +129,14 @@ class ForecastOptions:
     iterations: int = 20
     max_depth: int = 5
     step_size: float = 0.1
+    validation_share: float = 0.2  # last part of each history that decides when boosting stops; 0: all iterations
+    validation_tol: float = 0.01
     seed: int = 0
 
     def __post_init__(self) -> None:
         _require(self.std_dev_multiplier > 0, "std_dev_multiplier must be > 0")
         _require(self.iterations > 0, "iterations must be > 0")
+        _require(0 <= self.validation_share < 1, "validation_share must be in [0, 1)")
 
 
 @dataclass(frozen=True)

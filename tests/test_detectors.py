@@ -203,6 +203,31 @@ def test_forecast_follows_a_daily_shape(points, tmp_path):
     assert len(flags) == 24 and flags[MONDAY + HOUR * 350] == 1
 
 
+def test_forecast_learns_opposite_shapes_keeps_gaps_and_stops_early(points):
+    """Two series of opposite daily shape, one with unknown values: every point is predicted, better than by repetition."""
+    rng = np.random.default_rng(3)
+
+    def value(series, i):
+        if series == "up" and i % 13 == 0:
+            return None
+        return (1 if series == "up" else -1) * 20 * np.sin(i * np.pi / 12) + rng.normal(0, 1)
+
+    rows = [(s, MONDAY + HOUR * i, value(s, i)) for s in ("up", "down") for i in range(24 * 15)]
+    start = MONDAY + HOUR * 24 * 14
+    history, now = points([r for r in rows if r[1] < start]), points([r for r in rows if r[1] >= start])
+    options = forecast.ForecastOptions(iterations=12, max_depth=3, step_size=0.5)
+    model = forecast.train_forecast(history, options)
+    assert model[0].getNumTrees < 12  # what is left is noise
+    found = forecast.detect_forecast(now, None, options, model).collect()
+    assert len(found) == 48 and all(r["baseline"] is not None for r in found)
+    known = {(s, t): v for s, t, v in rows if v is not None}
+    for series in ("up", "down"):
+        error = np.mean([abs(r["value"] - r["baseline"]) for r in found if r["series_id"] == series and r["value"] is not None])
+        steps = [abs(v - known[(s, t - HOUR)]) for (s, t), v in known.items() if s == series and t < start and (s, t - HOUR) in known]
+        assert error / np.mean(steps) < 1
+    assert sum(r["value"] is None for r in found) == sum(v is None for s, t, v in rows if t >= start)
+
+
 def test_api_checks_its_input(points):
     with pytest.raises(ValueError):
         api.detect("nope", points([]))
