@@ -19,8 +19,9 @@ from metricwatch.functions.numeric import q, q_sql
 from metricwatch.operators import forest
 from metricwatch.operators.ordered import row_index
 from metricwatch.options import FunnelOptions, OutlierOptions
-from metricwatch.session import checkpoint_dir, cut_lineage
+from metricwatch.session import checkpoint_dir, cut_lineage, delete_at_end
 from metricwatch.sources import alerts
+from metricwatch.sources.points import read_events
 from metricwatch.sources.store import load_parts, load_tables, model_key, save_tables
 from metricwatch.streaming import online, points
 
@@ -42,6 +43,26 @@ def drain(stream: DataFrame) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{base}/out")
 
 
+def drain_closed(source: DataFrame, shape, at: int, **mark) -> DataFrame:
+    """Run `shape(source)`, say that the source ends at second `at`, run on from the same state, and return all that came out."""
+    spark = source.sparkSession
+    base = scratch(spark)
+    delete_at_end(spark, f"{base}/marks")
+    stream = shape(points.with_end_marks(source, f"{base}/marks"))
+    for closing in (False, True):
+        if closing:
+            points.mark_end(source, f"{base}/marks", at, **mark)
+        (
+            stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state")
+            .outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        )
+    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def last_second(spark, folder) -> int:
+    return read_events(spark, folder).agg(F.max(F.floor(F.col("ts").cast("double")))).first()[0]
+
+
 def flagged_stream(spark, folder):
     return points.stream_events(spark, folder).withColumn("anomaly", (F.col("value") > 40).cast("int"))
 
@@ -77,19 +98,49 @@ def stream_new_alerts(spark, folder):
     return drain(points.new_alerts(flagged_stream(spark, folder), 86_400)).select("series_id", "ts")
 
 
+INCIDENTS = (
+    ("f", "SELECT *, max(ts) OVER () AS top FROM raw WHERE value > 40"),
+    ("g", "SELECT *, ts - lag(ts) OVER (PARTITION BY series_id ORDER BY ts) AS gap FROM f"),
+    ("s", "SELECT *, sum(CASE WHEN gap >= 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY ts) AS k FROM g"),
+    ("z", "SELECT series_id, k, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS points, max(value) AS peak, any_value(top) AS top FROM s GROUP BY 1, 2"),
+)
+
+
 @query(
     "stream_incidents",
-    with_ctes(
-        "raw", ("f", "SELECT *, max(ts) OVER () AS top FROM raw WHERE value > 40"),
-        ("g", "SELECT *, ts - lag(ts) OVER (PARTITION BY series_id ORDER BY ts) AS gap FROM f"),
-        ("s", "SELECT *, sum(CASE WHEN gap >= 3600 THEN 1 ELSE 0 END) OVER (PARTITION BY series_id ORDER BY ts) AS k FROM g"),
-        ("z", "SELECT series_id, k, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS points, max(value) AS peak, any_value(top) AS top FROM s GROUP BY 1, 2"),
-    ) + f"SELECT series_id, start_ts, end_ts, points, peak FROM z WHERE end_ts + 3600 <= top - {LATE}",
+    with_ctes("raw", *INCIDENTS) + f"SELECT series_id, start_ts, end_ts, points, peak FROM z WHERE end_ts + 3600 <= top - {LATE}",
 )
 def stream_incidents(spark, folder):
     return drain(points.incident_stream(flagged_stream(spark, folder), 3_600, LATE))
 
 
+@query(
+    "stream_resample_closed",
+    with_ctes("raw") + f"SELECT series_id, ts // 3600 * 3600 AS ts, {q_sql('avg(value)')} AS value, max(value) AS peak, count(*) AS points FROM raw GROUP BY 1, 2",
+)
+def stream_resample_closed(spark, folder):
+    """All windows, those that were still open at the end as well."""
+    at = last_second(spark, folder) + 3_600 + LATE + 1
+    found = drain_closed(points.stream_events(spark, folder), lambda s: points.resample_stream(s, 3_600, LATE), at)
+    return found.withColumn("value", q("value"))
+
+
+@query("stream_canonical", with_ctes("pts") + "SELECT series_id, ts, value FROM pts")
+def stream_canonical(spark, folder):
+    """Each second once, with the value of its largest event."""
+    return drain_closed(points.stream_events(spark, folder), lambda s: points.canonical_stream(s, LATE), last_second(spark, folder) + LATE + 2)
+
+
+@query(
+    "stream_incidents_closed",
+    with_ctes("raw", *INCIDENTS) + "SELECT series_id, start_ts, end_ts, points, peak FROM z",
+)
+def stream_incidents_closed(spark, folder):
+    """All incidents, those that were still open at the end as well."""
+    at = last_second(spark, folder) + 3_600 + LATE + 1
+    return drain_closed(flagged_stream(spark, folder), lambda s: points.incident_stream(s, 3_600, LATE), at, anomaly=1)
+
+
 def _current_stream(spark, folder):
     return points.stream_events(spark, folder).where(F.col("ts") >= T0)
 

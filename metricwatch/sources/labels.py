@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from metricwatch.operators.joins import attach
@@ -11,18 +11,33 @@ from metricwatch.operators.ordered import rolling, row_index, running_sum
 STRETCH = 86_400
 
 
+def _series_name(raw: DataFrame, series: str | None) -> Column:
+    if series:
+        return F.lit(series)
+    return F.col("series_id").cast("string") if "series_id" in raw.columns else F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv", 1)
+
+
+def write_labelled_csv(labelled: DataFrame, path: str) -> None:
+    """Files `timestamp_ms,value,is_anomaly` in a folder per series, as `read_labelled_csv` takes them."""
+    rows = labelled.select("series_id", (F.col("ts") * 1000).alias("timestamp_ms"), "value", F.col("label").alias("is_anomaly"))
+    # a long series is shared by several files
+    spread = F.pmod(F.xxhash64("timestamp_ms"), F.lit(8))
+    rows.repartition("series_id", spread).sortWithinPartitions("series_id", "timestamp_ms").write.partitionBy("series_id").option("header", True).csv(path)
+
+
 def read_labelled_csv(spark: SparkSession, path: str, series: str | None = None) -> DataFrame:
     """`series_id, ts, value, label` of files with a header `timestamp_ms|timestamp_s,value,is_anomaly`.
 
-    The unit comes from the name of the time column; a label of at least 0.5 counts.
+    The unit comes from the name of the time column; a label of at least 0.5 counts. A series is named
+    by `series`, else by its folder (`series_id=...`), else by its file.
     """
     raw = spark.read.csv(path, header=True)
     time = next((c for c in raw.columns if c.lower().startswith("timestamp")), raw.columns[0])
-    value, label = [c for c in raw.columns if c != time][:2]
+    value, label = [c for c in raw.columns if c not in (time, "series_id")][:2]
     seconds = F.col(time).try_cast("double")
     if time.lower().endswith("_ms"):
         seconds = seconds / 1000.0
-    name = F.lit(series) if series else F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv", 1)
+    name = _series_name(raw, series)
     return raw.select(
         name.alias("series_id"), F.floor(seconds).cast("long").alias("ts"),
         F.col(value).try_cast("double").alias("value"),
@@ -34,7 +49,7 @@ def read_raw_csv(spark: SparkSession, path: str, series: str | None = None) -> D
     """Points of files with a header `timestamp,value`; rows that do not parse are left out."""
     raw = spark.read.csv(path, header=True)
     time = F.try_to_timestamp(F.trim("timestamp"), F.lit("yyyy-MM-dd HH:mm:ss"))
-    name = F.lit(series) if series else F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv", 1)
+    name = _series_name(raw, series)
     return raw.select(
         name.alias("series_id"), F.unix_seconds(time).alias("ts"), F.col("value").try_cast("double").alias("value")
     ).na.drop()

@@ -40,6 +40,17 @@ def first_of_each_second(stream: DataFrame, lateness: int) -> DataFrame:
     return stream.withWatermark("event_time", f"{lateness} seconds").dropDuplicatesWithinWatermark(["series_id", "ts"])
 
 
+def canonical_stream(stream: DataFrame, lateness: int) -> DataFrame:
+    """Each (series, second) once with the value of its largest `event_id`, as `sources.points.canonical` has it.
+
+    A second comes out when the watermark has passed it; later rows are dropped.
+    """
+    return (
+        stream.withWatermark("event_time", f"{lateness} seconds").groupBy("series_id", F.window("event_time", "1 second"))
+        .agg(F.max_by("value", "event_id").alias("value")).select("series_id", F.unix_seconds("window.start").alias("ts"), "value")
+    )
+
+
 def incident_stream(flagged: DataFrame, gap: int, lateness: int) -> DataFrame:
     """Sessions of anomalies closer than `gap` seconds; each once, when it is over."""
     session = F.session_window("event_time", f"{gap} seconds")
@@ -51,6 +62,24 @@ def incident_stream(flagged: DataFrame, gap: int, lateness: int) -> DataFrame:
     )
 
 
+def with_end_marks(stream: DataFrame, folder: str) -> DataFrame:
+    """The stream and whatever `mark_end` writes to `folder`; to be used before a watermark is set."""
+    return stream.unionByName(stream.sparkSession.readStream.schema(stream.schema).parquet(folder))
+
+
+def mark_end(stream: DataFrame, folder: str, at: int, **values: object) -> None:
+    """Say that nothing before second `at` will come any more.
+
+    The mark is one row of no series, known in `event_time`, `ts` and `values` only. It moves the
+    watermark to `at` less the lateness, so windows and sessions that end before come out; its own
+    stays open. `at` is the last event plus the window or gap and the lateness, plus one. Events later
+    than the watermark go on as before.
+    """
+    known = {"event_time": F.timestamp_seconds(F.lit(at)), "ts": F.lit(at), **{k: F.lit(v) for k, v in values.items()}}
+    row = stream.sparkSession.range(1, numPartitions=1)
+    row.select(*[known.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema]).write.mode("append").parquet(folder)
+
+
 def new_alerts(flagged: DataFrame, remember: int) -> DataFrame:
     """Each anomalous (series, time) once within `remember` seconds, however often it is evaluated."""
     return first_of_each_second(flagged.where(F.col("anomaly") == 1), remember)
