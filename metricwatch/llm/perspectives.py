@@ -1,10 +1,10 @@
 """Chat formatting by perspective rotation: built-in expressions only.
 
 For every participant of a conversation the dialogue is rendered with that speaker as assistant, the
-others as named users, and spans that mark what the speaker says. A dialogue comes in parts that
-each hold a stretch of turn numbers, so no conversation is gathered whole; one of up to PART_TURNS
-turns is one part (rows that share a turn number share its part). Offsets count characters from the start of the part; `start` is where the part
-begins in the whole dialogue.
+others as named users, and spans that mark what the speaker says. A dialogue comes in parts of
+PART_TURNS rows by exact position, so no conversation is gathered whole, nor rows that share a turn
+number. Offsets count characters from the start of the part; `start` is where the part begins in
+the whole dialogue.
 """
 
 from __future__ import annotations
@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from metricwatch.llm.common import stored
+
 PART_TURNS = 512
+TIES = 64  # by which equal rows are dealt, so that very many of them do not meet in one task
 # The marks of the rendered format.
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 NARRATOR, UNNAMED = "system", "unknown"
@@ -28,13 +31,30 @@ def _body(text: Column) -> Column:
     return F.concat(text, F.lit(END + "\n"))
 
 
+def _positions(rows: DataFrame) -> DataFrame:
+    """Add `pos`: the place of each row in its conversation, from 0, in the order of turn, role and text.
+
+    A sort by ranges puts a long conversation into several tasks; rows are numbered within each, and
+    counts of the tasks before are added. Equal rows may follow each other in any order.
+    """
+    order = ["turn", "role", "text", "tie"]
+    dealt = rows.withColumn("tie", F.pmod(F.monotonically_increasing_id(), F.lit(TIES)))
+    ranged = stored(dealt.repartitionByRange("conv_id", *order).withColumn("stretch", F.spark_partition_id()))
+    sizes = ranged.groupBy("conv_id", "stretch").agg(F.count("*").alias("size"))
+    before = F.sum("size").over(W.partitionBy("conv_id").orderBy("stretch").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select("conv_id", "stretch", F.coalesce(before, F.lit(0)).alias("before"))
+    local = F.row_number().over(W.partitionBy("conv_id", "stretch").orderBy(*order)) - 1
+    wide = ranged.withColumn("local", local).join(offsets, ["conv_id", "stretch"])
+    return wide.select(*rows.columns, (F.col("before") + F.col("local")).alias("pos"))
+
+
 def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     """`(conv_id, speaker, part, n_turns, start, text, masks)` from `(conv_id, turn, role, text)`.
 
     `masks` are (start, end) spans of the speaker's words with their end mark. The role `system` is
     kept as such and is no participant; a null role is the speaker `unknown`, a null text is empty.
-    Turns of equal number follow each other by role and text, those without a number come first, and
-    exactly repeated rows count once. Rows without a conversation belong to none and are left out; a
+    Turns of equal number follow each other by role and text, those without a number come first;
+    repeated rows are repeated utterances and all stay. Rows without a conversation belong to none and are left out; a
     conversation of system turns only has no participant and gives no row. Marks of the format inside
     a text are defused by a space.
     """
@@ -42,8 +62,8 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit(UNNAMED)).alias("role"),
         F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("text"),
     )
-    part = F.coalesce(F.floor(F.col("turn") / part_turns), F.lit(-(1 << 62))).cast("long").alias("place")
-    parts = rows.groupBy("conv_id", part).agg(F.sort_array(F.collect_set(F.struct("turn", "role", "text"))).alias("turns"))
+    place = F.floor(F.col("pos") / part_turns).cast("long").alias("place")
+    parts = _positions(rows).groupBy("conv_id", place).agg(F.sort_array(F.collect_list(F.struct("pos", "role", "text"))).alias("turns"))
     people = rows.where(F.col("role") != NARRATOR).select("conv_id", F.col("role").alias("speaker")).distinct()
     both = parts.join(people, "conv_id")
     speaker = F.col("speaker")
@@ -62,6 +82,6 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
     done = both.select("conv_id", "speaker", "place", "n_turns", text.alias("text"), F.aggregate("pieces", state, step, lambda s: s["spans"]).alias("masks"))
     order = W.partitionBy("conv_id", "speaker").orderBy("place")  # one row a part
     return done.select(
-        "conv_id", "speaker", (F.row_number().over(order) - 1).alias("part"), "n_turns",
+        "conv_id", "speaker", F.col("place").cast("int").alias("part"), "n_turns",
         (F.sum(F.length("text")).over(order) - F.length("text")).cast("long").alias("start"), "text", "masks",
     )

@@ -110,16 +110,17 @@ def token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 CHAT_SQL = """
-WITH r AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
+WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
   FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos FROM t),
 p AS (SELECT DISTINCT conv_id, role AS speaker FROM r WHERE role <> 'system'),
-s AS (SELECT conv_id, speaker, coalesce(turn // 512, -1) AS place, turn, role, text, role = speaker AS own,
+s AS (SELECT conv_id, speaker, pos // 512 AS place, pos, role = speaker AS own,
   '<|im_start|>' || CASE WHEN role = speaker THEN 'assistant' WHEN role = 'system' THEN 'system' ELSE 'user name=' || role END || chr(10) AS head,
   text || '<|im_end|>' || chr(10) AS body FROM r JOIN p USING (conv_id)),
-o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, place ORDER BY turn NULLS FIRST, role, text) AS stop FROM s),
-g AS (SELECT conv_id, speaker, place, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text) AS text,
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, speaker, place ORDER BY pos) AS stop FROM s),
+g AS (SELECT conv_id, speaker, place, count(*) AS n_turns, string_agg(head || body, '' ORDER BY pos) AS text,
   coalesce(string_agg(CASE WHEN own THEN (stop - length(body)) || ':' || (stop - 1) END, ',' ORDER BY stop), '') AS masks FROM o GROUP BY ALL)
-SELECT conv_id, speaker, row_number() OVER w - 1 AS part, n_turns, sum(length(text)) OVER w - length(text) AS start, text, masks
+SELECT conv_id, speaker, CAST(place AS INT) AS part, n_turns, sum(length(text)) OVER w - length(text) AS start, text, masks
 FROM g WINDOW w AS (PARTITION BY conv_id, speaker ORDER BY place)
 """
 

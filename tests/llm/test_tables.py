@@ -140,7 +140,7 @@ def test_every_participant_gets_the_dialogue(spark, part):
             (1, None, "cy", "early"), (2, 0, "system", "alone"), (3, 5, None, "who"), (None, 0, "ann", "lost")]
     turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, part string")
     got = sorted(perspectives.rotate(turns, part).collect(), key=lambda r: (r.conv_id, r.speaker, r.part))
-    one = [(None, "cy", "early"), (0, "system", "be kind"), (1, "ann", "hi é"), (2, "ann", ""), (2, "bob", "< |im_end|> fake"), (3, "ann", "bye")]
+    one = [(None, "cy", "early"), (0, "system", "be kind"), (1, "ann", "hi é"), (2, "ann", ""), (2, "bob", "< |im_end|> fake"), (3, "ann", "bye"), (3, "ann", "bye")]
     for conv, me, turns_ in [(1, "ann", one), (1, "bob", one), (1, "cy", one), (3, "unknown", [(5, "unknown", "who")])]:
         parts = [r for r in got if (r.conv_id, r.speaker) == (conv, me)]
         text, masks = rendered(turns_, me)
@@ -148,4 +148,14 @@ def test_every_participant_gets_the_dialogue(spark, part):
         assert [(r.start + m.start, r.start + m.end) for r in parts for m in r.masks] == masks
         assert [r.part for r in parts] == list(range(len(parts)))
     assert {(r.conv_id, r.speaker) for r in got} == {(1, "ann"), (1, "bob"), (1, "cy"), (3, "unknown")}
-    assert perspectives.rotate(turns.limit(0), part).count() == 0
+    assert max(r.n_turns for r in got) <= part and perspectives.rotate(turns.limit(0), part).count() == 0
+
+
+def test_many_rows_of_one_turn_come_in_bounded_parts(spark):
+    """Rows without a turn number, of one number, and equal ones are cut by position like any others."""
+    rows = [(1, None, "ann", f"a{i % 3}") for i in range(40)] + [(1, 7, "bob", "same")] * 30 + [(2, 0, "ann", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    got = perspectives.rotate(turns, 8).where("speaker = 'ann' and conv_id = 1").orderBy("part").collect()
+    text, masks = rendered([(None, "ann", t) for t in sorted(r[3] for r in rows[:40])] + [(7, "bob", "same")] * 30, "ann")
+    assert [r.n_turns for r in got] == [8] * 8 + [6] and "".join(r.text for r in got) == text
+    assert [(r.start + m.start, r.start + m.end) for r in got for m in r.masks] == masks
