@@ -125,8 +125,12 @@ def _undo(text: str) -> tuple[str, list[int], list[tuple[int, int, bool]]] | Non
     return "".join(out), starts, pieces
 
 
-def hidden_spans(text: str, base: list[Span]) -> list[Span]:
-    """Spans seen only without the disguises, at their source characters; none inside a base span of its kind."""
+def hidden_spans(text: str, base: list[Span], longer: bool = False) -> list[Span]:
+    """Spans seen only without the disguises, at their source characters.
+
+    One that shares characters with a base span of its kind is the same identifier, which counts once,
+    by its base span; `longer` spans of that sort are wanted where all of it must go from the text.
+    """
     undone = _undo(text)
     if undone is None:
         return []
@@ -136,7 +140,8 @@ def hidden_spans(text: str, base: list[Span]) -> list[Span]:
         i, j = bisect_right(starts, start) - 1, bisect_right(starts, end - 1) - 1
         (a, _, copied), (c, d, copied_end) = pieces[i], pieces[j]
         span = (kind, a + start - starts[i] if copied else a, c + end - starts[j] if copied_end else d)
-        if not any(k == kind and s <= span[1] and span[2] <= e for k, s, e in base):
+        met = [(s, e) for k, s, e in base if k == kind and s < span[2] and span[1] < e]
+        if not met or longer and not any(s <= span[1] and span[2] <= e for s, e in met):
             found.append(span)
     return found
 
@@ -168,7 +173,7 @@ def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
 def redact_text(text: str) -> str:
     """The text with every span replaced by its kind in brackets; spans that overlap become one."""
     base = base_spans(text)
-    spans = sorted((a, b, k) for k, a, b in base + hidden_spans(text, base))
+    spans = sorted((a, b, k) for k, a, b in base + hidden_spans(text, base, longer=True))
     out, done, i = [], 0, 0
     while i < len(spans):
         a, b, kind = spans[i]

@@ -84,6 +84,17 @@ def test_disguises_are_found_at_their_source(text, kind, hidden):
     assert hidden not in pii.redact_text(text)
 
 
+@pytest.mark.parametrize(("text", "base"), [
+    ("bob@example.com (dot) uk", "email:0:15"), ("ask ann (dot) lee@example.com now", "email:14:29"), ("x 10.0.0.7 and bob@a.com[dot]au.", "email:15:24,ip:2:10"),
+])
+def test_an_identifier_disguised_in_part_counts_once(text, base):
+    """The base span stays alone, and the whole identifier goes from the text."""
+    spans = pii.base_spans(text)
+    assert pii.listed(spans) == base and pii.hidden_spans(text, spans) == []
+    clean = pii.redact_text(text)
+    assert clean.count("<email>") == 1 and "dot" not in clean and "uk" not in clean and "lee" not in clean
+
+
 @pytest.mark.parametrize("text", ["", "look at the dot on the map", "one two", "He came at noon.", "zero tolerance, one way", "plain bob@example.com only"])
 def test_plain_texts_have_nothing_hidden(text):
     assert pii.hidden_spans(text, pii.base_spans(text)) == []
