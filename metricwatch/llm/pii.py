@@ -125,11 +125,11 @@ def _undo(text: str) -> tuple[str, list[int], list[tuple[int, int, bool]]] | Non
     return "".join(out), starts, pieces
 
 
-def hidden_spans(text: str, base: list[Span], longer: bool = False) -> list[Span]:
+def hidden_spans(text: str, base: list[Span], longer: bool = True) -> list[Span]:
     """Spans seen only without the disguises, at their source characters.
 
-    One that shares characters with a base span of its kind is the same identifier, which counts once,
-    by its base span; `longer` spans of that sort are wanted where all of it must go from the text.
+    None lies inside a base span of its kind. One that reaches beyond a base span is the same identifier,
+    seen whole: wanted where all of it must go from the text, but not where identifiers are counted (`longer` false).
     """
     undone = _undo(text)
     if undone is None:
@@ -151,7 +151,10 @@ def listed(spans: list[Span]) -> str:
 
 
 def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """`(id, base, hidden)`: arrays of (kind, start, end) of each row, by kind as listed, then start."""
+    """`(id, base, hidden)`: arrays of (kind, start, end) of each row, by kind as listed, then start.
+
+    An identifier disguised in part counts once, by its base span.
+    """
     kind = docs.schema[id_column].dataType.simpleString()
     span = "array<struct<kind:string,start:long,end:long>>"
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -164,7 +167,7 @@ def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
                 value = value.as_py() or ""
                 plain = base_spans(value)
                 base.append(named(plain))
-                hidden.append(named(sorted(hidden_spans(value, plain))))
+                hidden.append(named(sorted(hidden_spans(value, plain, longer=False))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, arrow), pa.array(hidden, arrow)], names=["id", "base", "hidden"])
 
     return docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")).mapInArrow(run, f"id {kind}, base {span}, hidden {span}")
@@ -173,7 +176,7 @@ def find(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Data
 def redact_text(text: str) -> str:
     """The text with every span replaced by its kind in brackets; spans that overlap become one."""
     base = base_spans(text)
-    spans = sorted((a, b, k) for k, a, b in base + hidden_spans(text, base, longer=True))
+    spans = sorted((a, b, k) for k, a, b in base + hidden_spans(text, base))
     out, done, i = [], 0, 0
     while i < len(spans):
         a, b, kind = spans[i]
