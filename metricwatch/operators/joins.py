@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from metricwatch.session import cut_lineage
 
 SPREAD = 8
-BROADCAST_ROWS = 500_000  # rows of a few numbers each: some tens of megabytes
+BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20  # of values, as counted by `value_bytes`
 SALT = "_spread"
 
 
@@ -44,6 +46,20 @@ def attach(
     return joined if SALT in points.columns else joined.drop(SALT)
 
 
+def value_bytes(df: DataFrame) -> Column:
+    """An aggregate: bytes of all values, eight for a number and the lengths of strings and arrays."""
+    total = F.lit(0).cast("long")
+    for field in df.schema:
+        column = F.col(f"`{field.name}`")
+        if isinstance(field.dataType, StringType):
+            total = total + F.coalesce(F.octet_length(column), F.lit(0)) + 8
+        elif isinstance(field.dataType, ArrayType):
+            total = total + 8 * F.greatest(F.size(column), F.lit(0)) + 8
+        else:
+            total = total + 8
+    return F.coalesce(F.sum(total), F.lit(0))
+
+
 def attach_checked(
     points: DataFrame,
     per_key: DataFrame,
@@ -53,10 +69,22 @@ def attach_checked(
 ) -> DataFrame:
     """`attach` that leaves the long side where it is when the small side is known to be small.
 
-    The small side is written down once and counted. Up to `most` rows are broadcast, so the
-    points go from the scan through the join without a shuffle; beyond that both sides are spread.
+    The small side is written down once and measured. Up to `most` rows and BROADCAST_BYTES are
+    broadcast, so the points go from the scan through the join without a shuffle; beyond that both
+    sides are spread.
     """
-    known = cut_lineage(per_key)
-    if known.count() <= most:
+    return attach_known(points, cut_lineage(per_key), keys, how, most)
+
+
+def attach_known(
+    points: DataFrame,
+    known: DataFrame,
+    keys: Sequence[str] = ("series_id",),
+    how: str = "left",
+    most: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """`attach_checked` with a small side that is written down already."""
+    rows, size = known.agg(F.count(F.lit(1)), value_bytes(known)).first()
+    if rows <= most and size <= BROADCAST_BYTES:
         return points.join(F.broadcast(known), list(keys), how)
     return attach(points, known, keys, how)

@@ -1,22 +1,28 @@
 """Exact order statistics per group, without gathering a group in one task.
 
 A sketch proposes cut values close around each wanted rank; counting the rows between cuts
-tells exactly which stretch holds the rank; only that stretch is sorted. The sketch decides
+tells exactly which stretch holds the rank; only that stretch is sorted. A stretch of more rows
+than a task should sort is cut again, and again, until it is short enough. The sketch decides
 how little is sorted, never what comes out. With few enough keys the rows are only scanned:
 cuts and ranks are broadcast to them, and nothing but the stretch is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricwatch.operators.joins import SALT, attach, attach_checked, salt
+from metricwatch.operators.joins import SALT, attach, attach_checked, attach_known, salt
+from metricwatch.session import cut_lineage
 
 ACCURACY = 10_000
 MARGIN = 0.002
+SORTED = 65_536  # different values of one stretch that a task sorts
+GRID = 64  # parts that a longer stretch is cut into in each round
 MAD_SIGMA = 1.4826  # fixed value: MAD to standard deviation under normality
 
 
@@ -26,8 +32,12 @@ def exact_quantiles(
     value: str,
     probs: dict[str, float],
     kind: str = "linear",
+    most: int = SORTED,
 ) -> DataFrame:
-    """One row per key: `n` and each named quantile. `kind` as in numpy's older interpolation names."""
+    """One row per key: `n` and each named quantile. `kind` as in numpy's older interpolation names.
+
+    No task sorts more than `most` different values of a key and stretch. Missing values do not count.
+    """
     keys = list(keys)
     cuts = sorted({min(1.0, max(0.0, p + d)) for p in probs.values() for d in (-MARGIN, MARGIN)})
     stretches = range(len(cuts) + 1)
@@ -58,15 +68,21 @@ def exact_quantiles(
             inside = inside | ((F.col(f"_rank{j}") >= F.col(f"_end{i}")) & (F.col(f"_rank{j}") < F.col(f"_end{i + 1}")))
         return F.when(inside, F.col(f"_end{i}"))
 
-    hit = marks.select(*keys, F.array(*[start(i) for i in stretches]).alias("_starts"))
+    starts = [start(i) for i in stretches]
+    size = [F.when(s.isNotNull(), F.col(f"_end{i + 1}") - F.col(f"_end{i}")) for i, s in enumerate(starts)]
+    hit = cut_lineage(marks.select(*keys, F.array(*starts).alias("_starts"), F.array_max(F.array(*size)).alias("_long")))
+    longest = hit.agg(F.max("_long")).first()[0] or 0
     tight = (
-        attach_checked(placed.drop("_cuts"), hit, keys, "inner")
+        attach_known(placed.drop("_cuts"), hit.drop("_long"), keys, "inner")
         .withColumn("_base", F.get("_starts", F.col("_stretch")))
         .where(F.col("_base").isNotNull())
-        .groupBy(*keys, "_stretch", "_base", "n", "_v")
+        .groupBy(*keys, "_base", "n", "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    run = Window.partitionBy(*keys, "_stretch").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    if longest > most:
+        inside = lambda a, b: reduce(or_, ((r >= a) & (r < b) for r in ranks))
+        tight = _narrowed(tight, keys, inside, most)
+    run = Window.partitionBy(*keys, "_base").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = tight.withColumn("_end", F.col("_base") + F.sum("_c").over(run)).withColumn(
         "_start", F.col("_end") - F.col("_c")
     )
@@ -85,6 +101,36 @@ def exact_quantiles(
     return picked.select(*keys, "n", *out)
 
 
+def _narrowed(counts: DataFrame, keys: Sequence[str], inside: Callable[[Column, Column], Column], most: int) -> DataFrame:
+    """Counts of values `(keys, _base, n, _v, _c)` in which no stretch has more than `most` different values.
+
+    A stretch is known by the rank `_base` of its first row. In each round a sketch of its different
+    values gives GRID cuts; the parts between them that hold a wanted rank stay, each as a stretch of
+    its own. A part has about a GRID-th of the values, so three rounds take a stretch of 10^10 values
+    to below 65,536.
+    """
+    group = [*keys, "_base"]
+    grid = [i / GRID for i in range(1, GRID)]
+    done = []
+    while True:
+        counts = cut_lineage(counts)
+        sizes = cut_lineage(counts.groupBy(*group).agg(F.count(F.lit(1)).alias("_size")))
+        if (sizes.agg(F.max("_size")).first()[0] or 0) <= most:
+            return reduce(DataFrame.unionByName, done, counts)
+        split = attach_known(salt(counts, "_v"), sizes, group, "inner")
+        done.append(split.where(F.col("_size") <= most).drop("_size", SALT))
+        large = split.where(F.col("_size") > most).drop("_size")
+        cuts = large.groupBy(*group).agg(F.percentile_approx("_v", grid, ACCURACY).alias("_cuts"))
+        part = F.size(F.filter("_cuts", lambda cut: cut < F.col("_v")))
+        parted = attach_checked(large, cuts, group, "inner").withColumn("_part", part).drop("_cuts")
+        held = parted.groupBy(*group, "_part").agg(F.first("n").alias("n"), F.sum("_c").alias("_rows"))
+        before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # GRID rows
+        held = held.withColumn("_from", F.col("_base") + F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        held = held.where(inside(F.col("_from"), F.col("_from") + F.col("_rows"))).select(*group, "_part", "_from")
+        kept = attach_checked(parted, held, [*group, "_part"], "inner")
+        counts = kept.select(*keys, F.col("_from").alias("_base"), "n", "_v", "_c")
+
+
 def interpolate(lo: Column, hi: Column, fraction: Column, kind: str) -> Column:
     """Value between two neighbouring order statistics."""
     if kind == "linear":
