@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from metricwatch.operators.joins import attach
 from metricwatch.operators.ordered import known_neighbours, row_index
+from metricwatch.session import cut_lineage
 
 COLD_START_ROWS = 20
 COLD_START_SHARE = 0.7
 DEFAULT_POINT_BUDGET = 1_500
 DEFAULT_HISTORY_SECS = 7 * 86_400
+NAMED_SERIES = 1_000  # series without a stored range up to which their names are pushed to the scan
 
 
 def time_slice(points: DataFrame, start: int, end: int) -> DataFrame:
@@ -116,18 +120,43 @@ def gap_plan(cached_from: Column, cached_to: Column, want_from: Column, want_to:
     )
 
 
-def extend_history(stored: DataFrame, source: DataFrame, start: int, end: int) -> DataFrame:
+def extend_history(stored: DataFrame, source: DataFrame, start: int, end: int, series: DataFrame | None = None) -> DataFrame:
     """Points of [start, end): stored ones where the stored range covers it, only gaps from source.
 
-    The stored range of a series is half-open, up to one second past its last point.
+    The stored range of a series is half-open, up to one second past its last point. What is read of
+    the source is known before it is read, so that the bounds reach its scan: no more than the time
+    before the latest start and after the earliest end of the stored ranges, and all of [start, end)
+    for the series that have no range in it, by name where these are few. `series` lists the
+    `series_id`s asked for and limits the result to them; without it all of both tables are asked
+    for, which reads the `series_id` column of the source once more. Points of no series are left
+    out, points without a time are in no range.
     """
-    span = stored.groupBy("series_id").agg(
-        F.min("ts").alias("_from"), (F.max("ts") + 1).alias("_to")
-    )
+    if series is not None:
+        names = series.select("series_id").where(F.col("series_id").isNotNull()).distinct()
+        stored = stored.join(names, "series_id", "left_semi").select(*stored.columns)
+    else:
+        names = source.select("series_id").where(F.col("series_id").isNotNull()).distinct()
+    stored = stored.where(F.col("series_id").isNotNull())
+    span = stored.groupBy("series_id").agg(F.min("ts").alias("_from"), (F.max("ts") + 1).alias("_to"))
     plan = gap_plan(F.col("_from"), F.col("_to"), F.lit(start), F.lit(end))
-    asked = attach(time_slice(source, start, end), span).withColumn("_plan", plan)
-    outside = (F.col("_plan") == "miss") | (F.col("ts") < F.col("_from")) | (F.col("ts") >= F.col("_to"))
-    return time_slice(stored, start, end).unionByName(asked.where(outside).select(*stored.columns))
+    plans = cut_lineage(names.join(span, "series_id", "left").select("series_id", "_from", "_to", plan.alias("_plan")))
+    held = F.col("_plan") != "miss"
+    latest, earliest, missed = plans.agg(F.max(F.when(held, F.col("_from"))), F.min(F.when(held, F.col("_to"))), F.count_if(~held)).first()
+    parts = [time_slice(stored, start, end)]
+    if latest is not None and latest > start:
+        before = attach(time_slice(source, start, min(latest, end)), plans.where(held), how="inner")
+        parts.append(before.where(F.col("ts") < F.col("_from")).select(*stored.columns))
+    if earliest is not None and earliest < end:
+        after = attach(time_slice(source, max(earliest, start), end), plans.where(held), how="inner")
+        parts.append(after.where(F.col("ts") >= F.col("_to")).select(*stored.columns))
+    if missed:
+        rows, absent = time_slice(source, start, end), plans.where(~held).select("series_id")
+        if missed <= NAMED_SERIES:
+            rows = rows.where(F.col("series_id").isin([r[0] for r in absent.collect()]))
+        else:
+            rows = rows.join(absent, "series_id", "left_semi")
+        parts.append(rows.select(*stored.columns))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def missing_gate(points: DataFrame, missing: float = 0.3, zeros: float = 0.3) -> DataFrame:
