@@ -205,7 +205,7 @@ def match_history_by_name(spark, folder):
 
 # -- older baseline --------------------------------------------------------------------------
 
-def legacy_sql(trend: str, interval: int, days: int) -> str:
+def legacy_sql(trend: str, interval: int, days: int, k: float = 2) -> str:
     key = {"daily": "0", "weekly": "(ts // 86400 + 3) % 7", "monthly": "day(make_timestamp(ts * 1000000))"}[trend]
     minute = "((ts % 3600) // 60)"
     end = f"CASE WHEN {minute} = 0 THEN {interval} ELSE least(CAST(ceil({minute} / {interval}.0) AS BIGINT) * {interval}, 60) END"
@@ -215,22 +215,24 @@ def legacy_sql(trend: str, interval: int, days: int) -> str:
               f"WHERE ts < {T0} AND ts >= t0 - {days * DAY} GROUP BY 1, 2, 3"),
         ("c", f"SELECT series_id, {key} AS s, (ts % 86400) // 3600 AS hr, {end} AS e, {'ts // 86400' if trend == 'daily' else '0'} AS d, min(ts) AS ts, avg(value) AS value "
               f"FROM pts WHERE ts >= {T0} GROUP BY 1, 2, 3, 4, 5"),
-        ("j", "SELECT c.series_id, ts, value, mu, greatest(mu - 2 * sd, 0.0) AS lower_bound, mu + 2 * sd AS upper_bound FROM c LEFT JOIN b USING (series_id, s, hr)"),
+        ("j", f"SELECT c.series_id, ts, value, mu, greatest(mu - {k} * sd, 0.0) AS lower_bound, mu + {k} * sd AS upper_bound FROM c LEFT JOIN b USING (series_id, s, hr)"),
     ) + (f"SELECT series_id, ts, {q_sql('value')} AS value, {q_sql('mu')} AS baseline, {rounded_sql(['upper_bound'])}, "
          f"CASE WHEN mu IS NOT NULL THEN {q_sql('lower_bound')} END AS lower_bound, CAST(coalesce(value < lower_bound OR value > upper_bound, false) AS INT) AS anomaly FROM j")
 
 
-def _legacy(name: str, options: LegacyBaselineOptions, days: int) -> None:
+def _legacy(name: str, options: LegacyBaselineOptions, days: int, k: float = 2) -> None:
     def run(spark, folder):
         found = detect_legacy_baseline(current(spark, folder), history(spark, folder), options)
         return rounded(found, "value", "baseline", "lower_bound", "upper_bound", keep=("series_id", "ts", "anomaly"))
 
-    query(name, legacy_sql(options.trend, options.interval_mins, days))(run)
+    query(name, legacy_sql(options.trend, options.interval_mins, days, k))(run)
 
 
 _legacy("legacy_baseline_daily", LegacyBaselineOptions("daily", 15), 30)
 _legacy("legacy_baseline_weekly", LegacyBaselineOptions("weekly", 60), 90)
 _legacy("legacy_baseline_monthly", LegacyBaselineOptions("monthly", 30), 365)
+# 92.5 % lies half way between the multipliers of 90 % (1.64) and 95 % (1.96)
+_legacy("legacy_baseline_confidence", LegacyBaselineOptions("weekly", 60, confidence_level=92.5), 90, 1.8)
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricwatch.functions import season
+from metricwatch.functions.numeric import confidence_multiplier
 from metricwatch.operators.joins import attach
 from metricwatch.options import LOOKBACK_DAYS, LegacyBaselineOptions
 from metricwatch.plans.dynamics import flag_outside, lookback, moments
@@ -22,7 +23,7 @@ def detect_legacy_baseline(
     """Interval means of current points against mean ± k·std of their season and hour.
 
     Daily keeps dates apart, weekly and monthly fold them together. Without a trend every
-    bound is NULL.
+    bound is NULL. k is `std_dev_multiplier`, else that of `confidence_level`, else 2.
     """
     if options.trend == "none":
         null = F.lit(None).cast("double")
@@ -37,7 +38,11 @@ def detect_legacy_baseline(
         "series_id", key.alias("season"), hour.alias("hour"),
         season.interval_end_minute(F.col("ts"), options.interval_mins).alias("interval_end"), day.alias("day"),
     ).agg(F.min("ts").alias("ts"), F.avg("value").alias("value"))
-    k = F.lit(options.std_dev_multiplier or 2.0)
+    k = F.lit(2.0)
+    if options.std_dev_multiplier is not None:
+        k = F.lit(options.std_dev_multiplier)
+    elif options.confidence_level is not None:
+        k = confidence_multiplier(F.lit(options.confidence_level))
     lower = F.col("mean") - k * F.col("std")
     if not options.allow_negative_bounds:
         lower = F.when(lower < 0, F.lit(0.0)).otherwise(lower)
